@@ -107,7 +107,7 @@ def mapped_records(records: DataFrame, entity_map: DataFrame, key: str) -> DataF
             F.when(F.col("_map")[e["label"]].isNull(), e["label"]).alias("unmapped"),
         ),
     )
-    return records.crossJoin(F.broadcast(folded)).select(
+    return records.withColumn("_map", folded.scalar()).select(
         F.col(key), "status", predicted.alias("predicted"), "elapsed_ns", "wall_ns", "message"
     )
 

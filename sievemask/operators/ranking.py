@@ -69,9 +69,9 @@ def nearest_rank_percentiles(df: DataFrame, column: str, percents: tuple[int, ..
         rank = F.greatest(F.lit(1), F.floor((F.col("count") * p + 99) / 100))
         return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v"))).alias(f"p{p}")
 
-    # One total row against the counts: a broadcast of exactly one row.
-    picked = ranked.crossJoin(F.broadcast(totals.select("count"))).agg(*[at_rank(p) for p in percents])
-    return totals.crossJoin(F.broadcast(picked)).select("count", *[f"p{p}" for p in percents], "max", "mean")
+    picked = ranked.withColumn("count", totals.select("count").scalar()).agg(*[at_rank(p) for p in percents])
+    shaped = totals.select(F.lit(0).alias("_k"), "*").join(picked.select(F.lit(0).alias("_k"), "*"), "_k")
+    return shaped.select("count", *[f"p{p}" for p in percents], "max", "mean")
 
 
 def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -5,11 +5,13 @@ numbered and joined; a text travels only when it may hold something to replace."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemask.functions import recognizers
-from sievemask.functions.spans import splice
+from sievemask.functions.spans import pattern_spans, splice
 from sievemask.operators.detection import span_rows
 from sievemask.operators.ranking import numbered
 from sievemask.session import frozen
@@ -27,17 +29,18 @@ def session_spans(messages: DataFrame) -> DataFrame:
     return frozen(span_rows(messages.select("session", "seq", "text"), ["session", "seq"]))
 
 
-def build_vault(spans: DataFrame) -> DataFrame:
+def build_vault(spans: DataFrame, make: Callable[[Column, Column], Column] = placeholder) -> DataFrame:
     """`(session, label, value, seq, start, n, placeholder)`: distinct values numbered by first appearance.
 
-    Repeats are folded map-side before the shuffle, so a value mentioned a billion times costs one row per task."""
+    Repeats are folded map-side before the shuffle, so a value mentioned a billion times costs one row per task.
+    `make(label, n)` shapes the placeholder; pass a column function of your own to swap in other stand-ins."""
     first = (
         spans.groupBy("session", "label", "value")
         .agg(F.min(F.struct("seq", "start")).alias("at"))
         .select("session", "label", "value", "at.seq", "at.start")
     )
     return numbered(first, ["session", "label"], ["seq", "start"]).withColumn(
-        "placeholder", placeholder(F.col("label"), F.col("n"))
+        "placeholder", make(F.col("label"), F.col("n"))
     )
 
 
@@ -82,24 +85,28 @@ def mask_with(messages: DataFrame, spans: DataFrame, vault: DataFrame, out: str
 def mask(messages: DataFrame, out: str = "masked") -> tuple[DataFrame, DataFrame]:
     """Masks every message; returns the messages with `out`, and the vault."""
     spans = session_spans(messages)
-    vault = frozen(build_vault(spans))
+    vault = build_vault(spans)
     return mask_with(messages, spans, vault, out), vault
 
 
-def unmask(messages: DataFrame, vault: DataFrame, out: str = "unmasked", known_by: str | None = None) -> DataFrame:
+def unmask(
+    messages: DataFrame,
+    vault: DataFrame,
+    out: str = "unmasked",
+    known_by: str | None = None,
+    pattern: str = PLACEHOLDER,
+) -> DataFrame:
     """Puts values back in one pass; placeholders the session does not know stay. Restored values are not
     looked at again.
 
     Placeholders are cut from the text as slim rows and joined on (session, placeholder), so the size of a
     session's vault never matters to a single row. With `known_by`, only vault entries whose first `seq` is not
-    after that column of the message count."""
-    from sievemask.functions.spans import pattern_spans
-
-    holds = F.col("text").rlike(PLACEHOLDER)
+    after that column of the message count. `pattern` describes the placeholders the vault was built with."""
+    holds = F.col("text").rlike(pattern)
     extra = [known_by] if known_by and known_by != "seq" else []
     tokens = (
         messages.where(holds)
-        .select("session", "seq", *extra, F.explode(pattern_spans(F.col("text"), PLACEHOLDER)).alias("p"))
+        .select("session", "seq", *extra, F.explode(pattern_spans(F.col("text"), pattern)).alias("p"))
         .select("session", "seq", *extra, "p.start", "p.end", F.col("p.value").alias("placeholder"))
     )
     entries = vault.select("session", "placeholder", F.col("value").alias("replacement"), F.col("seq").alias("_since"))
@@ -119,15 +126,3 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted") -> DataFram
         ),
     )
     return df.withColumn("_spans", r).withColumn(out, splice(F.col(text), F.col("_spans"))).drop("_spans")
-
-
-def mask_sessions_with(messages: DataFrame, fn, schema: str) -> DataFrame:
-    """Runs a user's masker over each session in turn order: `fn(session, frame) -> frame`.
-
-    The contract needs a whole session in one place, which is the caller's choice; use the vault operators for
-    sessions of unbounded size."""
-
-    def run(key, frame):
-        return fn(key[0], frame.sort_values("seq"))
-
-    return messages.groupBy("session").applyInPandas(run, schema)
