@@ -34,19 +34,19 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "n") -
     )
 
 
-def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
-    """Adds the inclusive running sum of `amount` over all rows in `order` (unique values)."""
-    laid_out = frozen(df.repartitionByRange(order).withColumn("_task", F.spark_partition_id()))
-    within = Window.partitionBy("_task").orderBy(order)
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds the inclusive running sum of `amount` within each key, in `order` (unique within a key)."""
+    laid_out = frozen(df.repartitionByRange(*keys, *order).withColumn("_task", F.spark_partition_id()))
+    within = Window.partitionBy("_task", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        laid_out.groupBy("_task")
+        laid_out.groupBy("_task", *keys)
         .agg(F.sum(amount).alias("_sum"))
-        .select("_task", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+        .select("_task", *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
     )
     return (
         laid_out.withColumn("_within", F.sum(amount).over(within))
-        .join(shifts, "_task")
+        .join(shifts, ["_task", *keys])
         .withColumn(out, F.col("_within") + F.col("_shift"))
         .drop("_task", "_within", "_shift")
     )
@@ -63,7 +63,7 @@ def nearest_rank_percentiles(df: DataFrame, column: str, percents: tuple[int, ..
         F.max("v").alias("max"),
         (F.sum(F.col("v").cast("decimal(38,0)") * F.col("c"))).alias("_sum"),
     ).withColumn("mean", F.floor(F.col("_sum") / F.col("count")).cast("long"))
-    ranked = running_total(counts, "v", "c", "upto")
+    ranked = running_total(counts, [], ["v"], "c", "upto")
 
     def at_rank(p: int) -> Column:
         rank = F.greatest(F.lit(1), F.floor((F.col("count") * p + 99) / 100))
