@@ -40,6 +40,4 @@ def string_values(body: Column) -> Column:
     literals = F.filter(F.regexp_extract_all(body, F.lit(_STRING_VALUES), F.lit(1)), lambda s: s != "")
     quoted = F.transform(literals, lambda s: F.concat(F.lit('"'), s, F.lit('"')))
     rebuilt = F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]"))
-    return F.when(body.startswith('"'), F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")).otherwise(
-        F.from_json(rebuilt, "array<string>")
-    )
+    return F.from_json(rebuilt, "array<string>")

@@ -26,10 +26,19 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def _fixed(value: Column, places: int) -> Column:
-    """Half-even rounding of the exact binary value: 30 exact decimals first, since a double printed to fewer
-    digits can look like a tie when it is not."""
-    exact = value.cast("decimal(38,17)")
-    return F.bround(exact, places).cast(f"decimal(38,{places})").cast("string")
+    """A non-negative double with `places` (at most 2) decimals, rounded half-even on its exact binary value.
+
+    The fraction is taken as a whole number of 2^-56ths, which is exact wherever a tie can occur; the engine's own
+    formatting rounds the shortest decimal text instead and differs on values such as 0.35."""
+    unit, ten = 1 << 56, 10**places
+    whole = F.floor(value)
+    scaled = ((value - whole) * F.lit(float(unit))).cast("long") * F.lit(ten)
+    digits, rest = F.shiftright(scaled, 56), scaled.bitwiseAND(F.lit(unit - 1))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (digits % 2 == 1))
+    total = whole * ten + digits + up.cast("long")
+    return F.concat(
+        F.floor(total / ten).cast("string"), F.lit("."), F.lpad((total % ten).cast("string"), places, "0")
+    )
 
 
 def percent(value: Column) -> Column:
