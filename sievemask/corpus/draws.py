@@ -36,8 +36,13 @@ def between(key: Column, name: str, low: int, high: int) -> Column:
     return below(key, name, high - low + 1) + low
 
 
+def words(items: Sequence[str]) -> Column:
+    """A list of strings as one array constant; folded when the query is optimized, and one expression until then."""
+    return F.split(F.lit("\n".join(items)), "\n")
+
+
 def pick(key: Column, name: str, items: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(i) for i in items]), below(key, name, len(items)) + 1)
+    return F.element_at(words(items), below(key, name, len(items)) + 1)
 
 
 def chance(hexes: Column, at: int, percent: int) -> Column:

@@ -35,8 +35,8 @@ DIGITS = r"\A[0-9]+\z"
 
 
 def _table(rows) -> Column:
-    """A two-dimensional table as one foldable array literal, row after row."""
-    return F.array(*[F.lit(v) for row in rows for v in row])
+    """A two-dimensional table as one array constant, row after row; folded when the query is optimized."""
+    return F.split(F.lit(",".join(str(v) for row in rows for v in row)), ",").cast("array<int>")
 
 
 def _from_right(digits: Column) -> Column:
@@ -58,7 +58,7 @@ def verhoeff_is_valid(digits: Column) -> Column:
 
 def verhoeff_check_digit(digits: Column) -> Column:
     """The digit to append to `digits`; null when it holds anything but ASCII digits."""
-    inverse = F.array(*[F.lit(v) for v in VERHOEFF_INVERSE])
+    inverse = _table([VERHOEFF_INVERSE])
     return F.when(digits.rlike(DIGITS), F.element_at(inverse, _verhoeff_state(digits, 1) + 1))
 
 

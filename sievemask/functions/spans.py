@@ -23,27 +23,37 @@ def overlap(a: Column, b: Column) -> Column:
     )
 
 
-def pattern_spans(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches with code-point offsets; an empty array when nothing matches.
+# A noncharacter: not valid in interchange, so texts normally do not hold it.
+_MARK = "\uffff"
+
 
-    Matches and the gaps between them are cut once; a running sum of their lengths gives the offsets. The cheap
-    `rlike` guard keeps texts without a match away from the two cutting passes."""
+def _alternating(text: Column, pattern: str) -> Column:
+    """The text cut into gap, match, gap, …, gap."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
     cut = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
+    direct = F.flatten(F.transform(cut, lambda z: F.array_compact(F.array(z["gap"], z["hit"]))))
+    return F.when(F.contains(text, F.lit(_MARK)), direct).otherwise(marked)
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["hit"])
-        hit = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("value"))
-        return F.when(piece["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+def pattern_spans(text: Column, pattern: str) -> Column:
+    """All non-overlapping matches with code-point offsets; an empty array when nothing matches.
+
+    One pass of the pattern puts a mark on both sides of each match; cutting at the mark then gives gaps and
+    matches in turn, and a running sum of their lengths the offsets. A text that holds the mark itself is cut by
+    the pattern directly."""
+    # Pieces alternate: gap, match, gap, …, gap.
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.length(p)
+        hit = F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("value"))
+        return F.struct(
+            end.alias("at"), (~acc["is_hit"]).alias("is_hit"),
+            F.when(acc["is_hit"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
         )
 
-    walked = F.aggregate(
-        cut, F.struct(F.lit(0).alias("at"), empty(FOUND).alias("out")), step, lambda acc: acc["out"]
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty(FOUND))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("is_hit"), empty(FOUND).alias("out"))
+    return F.aggregate(_alternating(text, pattern), start, step, lambda acc: acc["out"])
 
 
 def clustered(

@@ -10,7 +10,7 @@ from sievemask.operators import audit as U
 from sievemask.operators import chat as C
 from sievemask.operators import roundtrip as R
 from sievemask.operators import scenario_rules as SR
-from sievemask.plans.common import big, digest_of, q_digits, q_letters, table
+from sievemask.plans.common import big, digest_of, q_digits, q_letters, spread, table
 from sievemask.schemas import SEGMENT, TOOL_CALL
 from sievemask.sources import sse
 
@@ -48,7 +48,7 @@ def scenarios(spark, sf):
     pan = F.concat(letters(key, "a", 3), F.lit("PS"), digits(key, "b", 4), letters(key, "c", 1))
     name = F.concat(F.lit("Ananya "), F.initcap(letters(key, "n", 5)))
     k = F.col("kind")
-    rows = table(spark, sf, "conversations").select(
+    rows = spread(table(spark, sf, "conversations")).select(
         "conv_id", "turn", "text", kind.alias("kind"), F.when(kind == 5, name).otherwise(pan).alias("first"),
         F.concat(F.lit("9"), digits(key, "d", 9)).alias("second"),
     )
@@ -319,7 +319,7 @@ def repeated_ids(spark, sf):
 
 def parsed_requests(spark, sf):
     """Requests in both formats: content as a string, as blocks, and as a tool result."""
-    rows = table(spark, sf, "conversations").withColumn("api", F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages"))
+    rows = spread(table(spark, sf, "conversations")).withColumn("api", F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages"))
     text = F.expr("substring(q, 2, length(q) - 2)")
     q = F.to_json(F.array("text"))
     last = (
@@ -348,7 +348,7 @@ Q_PATHS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'openai_chat' WHEN 1 T
 
 
 def parsed_responses(spark, sf):
-    rows = table(spark, sf, "conversations").withColumn("q", F.to_json(F.array("text")))
+    rows = spread(table(spark, sf, "conversations")).withColumn("q", F.to_json(F.array("text")))
     text = F.expr("substring(q, 2, length(q) - 2)")
     api = F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages")
     body = F.when(
@@ -368,7 +368,7 @@ Q_RESPONSES = """SELECT conv_id, turn, md5(text || CASE WHEN turn % 2 = 1 THEN '
 def captured_bodies(spark, sf):
     """Streamed replies as captured: event-stream text of both formats, with carriage returns, a comment, and an
     end that was cut off."""
-    rows = table(spark, sf, "conversations")
+    rows = spread(table(spark, sf, "conversations"))
     n = F.ceil(F.length("text") / 25).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.to_json(F.array(F.substring("text", i * 25 + 1, F.lit(25)))))
     bare = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)

@@ -8,7 +8,7 @@ from sievemask.corpus.draws import digits, letters
 from sievemask.operators import chat as C
 from sievemask.operators import holdback as H
 from sievemask.operators import vault as V
-from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, table
+from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, spread, table
 from sievemask.streaming import holdback as SH
 from sievemask.streaming import masking as SM
 
@@ -30,7 +30,7 @@ def messages(spark, sf, shared: bool = False):
         "text", F.lit("\nPAN "), pan, F.when(F.col("turn") % 2 == 1, F.concat(F.lit(", call "), _phone(key, "m"))).otherwise(""),
         F.lit(". [end]"),
     )
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations")).select(
         (F.lit("all") if shared else F.col("conv_id").cast("string")).alias("session"),
         (F.col("conv_id") * 1000 + F.col("turn") if shared else F.col("turn")).alias("seq"), "conv_id", "turn", text.alias("text"),
     )

@@ -28,33 +28,25 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _kind_of(t: T.DataType) -> str:
-    if isinstance(t, T.StructType):
-        return "OBJECT"
-    if isinstance(t, T.ArrayType):
-        return "ARRAY"
-    return "VALUE"
-
-
 def unknown_fields(json_text: Column, schema: T.StructType) -> Column:
     """Names (dotted) of fields in the text that the schema does not have, at every level of objects."""
-    found = [
-        F.transform(
-            F.array_except(F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>")), F.array(*[F.lit(n) for n in schema.names])),
-            lambda k: k,
-        )
-    ]
+    none = F.array().cast("array<string>")
+
+    def under(prefix: str, names: Column) -> Column:
+        return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
+
+    def in_items(inner: Column, name: str, element: T.StructType) -> Column:
+        items = F.coalesce(F.from_json(inner, "array<string>"), none)
+        return F.flatten(F.transform(items, lambda item: under(f"{name}[].", unknown_fields(item, element))))
+
+    known = F.array(*[F.lit(n) for n in schema.names])
+    found = [F.array_except(F.coalesce(F.json_object_keys(json_text), none), known)]
     for field in schema.fields:
         inner = F.get_json_object(json_text, f"$.{field.name}")
-        name = field.name
         if isinstance(field.dataType, T.StructType):
-            found.append(F.transform(unknown_fields(inner, field.dataType), lambda k, name=name: F.concat(F.lit(name + "."), k)))
+            found.append(under(f"{field.name}.", unknown_fields(inner, field.dataType)))
         elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
-            items = F.coalesce(F.from_json(inner, "array<string>"), F.array().cast("array<string>"))
-            element = field.dataType.elementType
-            found.append(
-                F.flatten(F.transform(items, lambda item, e=element, name=name: F.transform(unknown_fields(item, e), lambda k: F.concat(F.lit(name + "[]."), k))))
-            )
+            found.append(in_items(inner, field.name, field.dataType.elementType))
     return F.concat(*found)
 
 
