@@ -5,7 +5,7 @@ task can make any sample, and editing one template never changes another's sampl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,12 @@ def sample_key(seed: Column | int, template_id: Column, n: Column) -> Column:
     return F.concat_ws("/", seed.cast("string"), template_id, n.cast("string"))
 
 
+def let(fields: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` over a struct of `fields` that is computed once per row instead of at every mention."""
+    bound = F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return F.element_at(F.transform(bound, body), 1)
+
+
 def digest(key: Column, name: str) -> Column:
     return F.sha2(F.concat(key, F.lit("/" + name)), 256)
 

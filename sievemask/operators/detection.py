@@ -6,11 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemask.functions import recognizers
-from sievemask.schemas import TOOL_ENTITY
+from sievemask.schemas import PREDICTED, TOOL_ENTITY
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -94,22 +94,36 @@ def detect_with(df: DataFrame, key: str, detector: Callable[[str], list[dict]],
     )
 
 
+# Up to this many labels a map travels inside the plan; a larger one is joined.
+MAX_FOLDED_LABELS = 10_000
+
+
 def mapped_records(records: DataFrame, entity_map: DataFrame, key: str) -> DataFrame:
     """Turns `entities` of `detect_with` into `predicted`, keeping unknown labels as `unmapped`.
 
-    The map is a dimension of a tool's labels, so it is folded into one map value and looked up in the row; the
-    records are not exploded or shuffled."""
-    folded = entity_map.agg(F.map_from_entries(F.collect_set(F.struct("label", "entity"))).alias("_map"))
-    predicted = F.transform(
-        F.coalesce(F.col("entities"), F.array().cast(f"array<{TOOL_ENTITY}>")),
-        lambda e: F.struct(
-            e["start"].alias("start"), e["end"].alias("end"), F.col("_map")[e["label"]].alias("mapped"),
-            F.when(F.col("_map")[e["label"]].isNull(), e["label"]).alias("unmapped"),
-        ),
-    )
-    return records.withColumn("_map", folded.scalar()).select(
-        F.col(key), "status", predicted.alias("predicted"), "elapsed_ns", "wall_ns", "message"
+    A tool's map is usually small (its size is checked): it is folded into one map value and looked up in the row,
+    so records are neither exploded nor shuffled. Otherwise the labels are joined and regrouped per record."""
+    rest = ["status", "elapsed_ns", "wall_ns", "message"]
+
+    def predicted(e: Column, mapped: Column) -> Column:
+        return F.struct(
+            e["start"].alias("start"), e["end"].alias("end"), mapped.alias("mapped"),
+            F.when(mapped.isNull(), e["label"]).alias("unmapped"),
+        )
+
+    entities = F.coalesce(F.col("entities"), F.array().cast(f"array<{TOOL_ENTITY}>"))
+    if entity_map.limit(MAX_FOLDED_LABELS + 1).count() <= MAX_FOLDED_LABELS:
+        folded = entity_map.agg(F.map_from_entries(F.collect_set(F.struct("label", "entity"))).alias("_map"))
+        looked_up = F.transform(entities, lambda e: predicted(e, F.col("_map")[e["label"]]))
+        return records.withColumn("_map", folded.scalar()).select(key, "status", looked_up.alias("predicted"), *rest[1:])
+    rows = records.select(key, F.posexplode(entities).alias("pos", "e")).withColumn("label", F.col("e.label"))
+    joined = rows.join(entity_map, "label", "left").groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", predicted(F.col("e"), F.col("entity")).alias("p")))), lambda x: x["p"]
+        ).alias("predicted")
     )
+    none = F.array().cast(f"array<{PREDICTED}>")
+    return records.join(joined, key, "left").select(key, "status", F.coalesce("predicted", none).alias("predicted"), *rest[1:])
 
 
 def first_samples(samples: DataFrame, order: str, limit: int | None) -> DataFrame:

@@ -93,7 +93,7 @@ def conversation_inputs(spark, sf):
     return A.conversation_turns(scenarios(spark, sf)).select("conv_id", big("turn").alias("turn"), "kind", "call_id", digest_of("text").alias("text"))
 
 
-Q_INPUTS = f"""WITH {Q_SCENARIOS} SELECT conv_id, 0::BIGINT AS turn, 'user' AS kind, NULL AS call_id, md5('Note: ' || body || ' ID ' || first || ' phone ' || second || '.') AS text FROM sc
+Q_INPUTS = f"""WITH {Q_SCENARIOS} SELECT conv_id, 0::BIGINT AS turn, 'user' AS kind, NULL::VARCHAR AS call_id, md5('Note: ' || body || ' ID ' || first || ' phone ' || second || '.') AS text FROM sc
 UNION ALL SELECT conv_id, 1, CASE WHEN kind = 2 THEN 'tool_result' ELSE 'user' END, CASE WHEN kind = 2 THEN 'c1' END, md5('Repeat ' || first) FROM sc"""
 
 
@@ -138,7 +138,7 @@ def scripted_replies(spark, sf):
 
 
 Q_SCRIPTED = f"""WITH {Q_SCENARIOS} SELECT conv_id, 0::BIGINT AS turn, CASE kind WHEN 1 THEN 'Got <ID|_1> and <|<Phone 1>> ok' WHEN 2 THEN '{{"id": "<ID_1>|"}}'
-  WHEN 3 THEN 'Got <id_1>' ELSE 'Got <ID_1>' END AS chunks, NULL AS script_error FROM sc
+  WHEN 3 THEN 'Got <id_1>' ELSE 'Got <ID_1>' END AS chunks, NULL::VARCHAR AS script_error FROM sc
 UNION ALL SELECT conv_id, 1, CASE WHEN kind = 4 THEN '' ELSE 'Again <ID_1> / <<Phone 1>>' END, NULL FROM sc"""
 
 
@@ -150,7 +150,7 @@ def replayed_observations(spark, sf):
 
 Q_OBSERVED = f"""WITH {Q_SCENARIOS} SELECT conv_id, 0::BIGINT AS turn, 'completed' AS kind,
   CASE kind WHEN 1 THEN 'Got ' || first || ' and ' || second || ' ok' WHEN 2 THEN '' WHEN 3 THEN 'Got [pan_1]' ELSE 'Got ' || first END AS text,
-  CASE WHEN kind = 2 THEN 'verify' END AS call, CASE WHEN kind = 2 THEN '{{"id": "' || first || '"}}' END AS arguments, NULL AS message, NULL::BIGINT AS http_status FROM sc
+  CASE WHEN kind = 2 THEN 'verify' END AS call, CASE WHEN kind = 2 THEN '{{"id": "' || first || '"}}' END AS arguments, NULL::VARCHAR AS message, NULL::BIGINT AS http_status FROM sc
 UNION ALL SELECT conv_id, 1, CASE WHEN kind = 4 THEN 'errored' ELSE 'completed' END, CASE WHEN kind <> 4 THEN 'Again ' || first || ' / ' || second END, NULL, NULL,
   CASE WHEN kind = 4 THEN 'busy' END, CASE WHEN kind = 4 THEN 503 END FROM sc"""
 
@@ -335,7 +335,7 @@ def parsed_requests(spark, sf):
 
 
 Q_REQUESTS = """SELECT conv_id, turn, 1::BIGINT AS request_turn, md5(text || CASE WHEN turn % 4 >= 2 THEN '+' ELSE '' END) AS latest,
-  conv_id % 2 = 0 AS stream, 'm1' AS model, NULL AS problem FROM conversations"""
+  conv_id % 2 = 0 AS stream, 'm1' AS model, NULL::VARCHAR AS problem FROM conversations"""
 
 
 def api_paths(spark, sf):

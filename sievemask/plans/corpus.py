@@ -52,11 +52,10 @@ TRIED = (
 
 def filler_values(spark, sf):
     tried = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).cast("string").alias("style")) for k, s in TRIED])
-    rows = spread(table(spark, sf, "customer")).select("c_custkey", F.explode(tried).alias("t"))
     sample = _key("fill", "c_custkey")
-    return rows.select(
-        "c_custkey", "t.kind", "t.style", V.filled(F.col("t.kind"), F.col("t.style"), F.lit("en"), sample, F.concat(sample, F.lit("/0"))).alias("value")
-    )
+    rows = spread(table(spark, sf, "customer")).withColumn("people", V.people(sample)).select("c_custkey", "people", F.explode(tried).alias("t"))
+    value = V.filled(F.col("t.kind"), F.col("t.style"), F.lit("en"), F.col("people"), F.concat(sample, F.lit("/0")))
+    return rows.select("c_custkey", "t.kind", "t.style", value.alias("value"))
 
 
 _S, _P = "('fill/' || c_custkey)", "('fill/' || c_custkey || '/0')"
@@ -256,7 +255,7 @@ def _order_templates(spark, sf):
 _Q_OT = """
 ot AS (SELECT o_orderkey % 8 AS k, 'o' || CASE WHEN o_orderkey < 20 THEN o_orderkey // 10 ELSE o_orderkey END AS template_id, o_orderpriority AS p, o_orderstatus AS s, o_custkey % 50 = 0 AS odd FROM orders)"""
 Q_CUTS = f"""WITH {_Q_OT}, r AS (
-  SELECT template_id, 0 AS pos, 'text' AS part_kind, 'Order {{' || p || '}} for ' AS text, NULL AS filler, NULL AS style, NULL AS entity FROM ot WHERE k = 0
+  SELECT template_id, 0 AS pos, 'text' AS part_kind, 'Order {{' || p || '}} for ' AS text, NULL::VARCHAR AS filler, NULL::VARCHAR AS style, NULL::VARCHAR AS entity FROM ot WHERE k = 0
   UNION ALL SELECT template_id, 1, 'fill', NULL, 'name', 'full', 'PERSON_NAME' FROM ot WHERE k = 0 UNION ALL SELECT template_id, 2, 'text', ' paid', NULL, NULL, NULL FROM ot WHERE k = 0
   UNION ALL SELECT template_id, 0, 'labelled', 'ABCPS1234K', NULL, NULL, 'PAN' FROM ot WHERE k = 1 UNION ALL SELECT template_id, 1, 'text', ' and ', NULL, NULL, NULL FROM ot WHERE k = 1
   UNION ALL SELECT template_id, 2, 'literal_decoy', '12', NULL, NULL, 'PHONE' FROM ot WHERE k = 1 UNION ALL SELECT template_id, 3, 'text', ' ' || s, NULL, NULL, NULL FROM ot WHERE k = 1

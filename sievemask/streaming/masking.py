@@ -27,8 +27,10 @@ def mask_stream(messages: DataFrame, vault_path: str, out_path: str, checkpoint:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = frozen(batch)
-        known = read_vault(batch.sparkSession, vault_path, batch_id)
         spans = session_spans(kept)
+        # Only sessions of this batch take part in joins and numbering; the rest of the vault stays at the scan.
+        here = spans.select("session").distinct()
+        known = read_vault(batch.sparkSession, vault_path, batch_id).join(here, "session", "left_semi")
         fresh = extended_vault(spans, known)
         fresh.select("session", "label", "value", "seq", "start", "n", "placeholder").write.mode("overwrite").parquet(
             f"{vault_path}/batch={batch_id}"

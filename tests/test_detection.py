@@ -109,3 +109,18 @@ def test_failing_detector_only_fails_its_row(spark):
     rows = {r["id"]: r for r in D.detect_with(df, "id", detector).collect()}
     assert rows[2]["status"] == "failed" and rows[2]["message"] == "RuntimeError: boom"
     assert rows[1]["status"] == rows[3]["status"] == "detected" and rows[1]["entities"][0]["label"] == "ORG"
+
+
+def test_label_maps_of_both_sizes_agree(spark, monkeypatch):
+    records = D.detect_with(
+        spark.createDataFrame([(1, "ab"), (2, "")], "id int, text string"), "id",
+        lambda t: [{"start": i, "end": i + 1, "label": c} for i, c in enumerate(t)],
+    )
+    entity_map = spark.createDataFrame([("a", "PAN"), ("z", "PHONE")], "label string, entity string")
+
+    def got():
+        return {r["id"]: [tuple(p) for p in r["predicted"]] for r in D.mapped_records(records, entity_map, "id").collect()}
+
+    small = got()
+    monkeypatch.setattr(D, "MAX_FOLDED_LABELS", 1)
+    assert got() == small == {1: [(0, 1, "PAN", None), (1, 2, None, "b")], 2: []}
