@@ -9,6 +9,7 @@ from sievemask.operators import chat as C
 from sievemask.operators import holdback as H
 from sievemask.operators import vault as V
 from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, spread, table
+from sievemask.session import frozen
 from sievemask.streaming import holdback as SH
 from sievemask.streaming import masking as SM
 
@@ -193,7 +194,9 @@ def _chunks(spark, sf):
     chunks = masked.select(
         "session", F.col("turn").cast("string").alias("stream"), "conv_id", "turn", n.alias("n"), F.posexplode(cut).alias("seq", "chunk")
     )
-    return chunks.withColumn("is_final", F.col("seq") == F.col("n") - 1).withColumn("seq", big("seq")).drop("n"), vault
+    chunks = chunks.withColumn("is_final", F.col("seq") == F.col("n") - 1).withColumn("seq", big("seq")).drop("n")
+    # Stands for a captured table: written once, then read by every branch of the query.
+    return frozen(chunks), vault
 
 
 Q_CHUNKS = f"""WITH {Q_MESSAGES}, {_q_vault('conv_id::VARCHAR')}, {_q_masked('m.conv_id::VARCHAR')},
@@ -266,7 +269,7 @@ def _events(spark, sf, api):
         deltas = rows.select("session", conv.alias("conv_id"), F.col("seq").alias("pos"), body.alias("data"))
         last = F.lit('{"choices":[{"index":0,"delta":{},"finish_reason":"stop"}]}')
         ends = rows.where("is_final").select("session", conv.alias("conv_id"), (F.col("seq") + 1).alias("pos"), last.alias("data"))
-        return deltas.unionByName(ends), vault
+        return frozen(deltas.unionByName(ends)), vault
     body = lambda kind, field, i: F.concat(F.lit(f'{{"type":"content_block_delta","index":{i},"delta":{{"type":"{kind}","{field}":'), bare, F.lit("}}"))
     events = F.array(
         F.struct((F.col("seq") * 2).alias("pos"), body("text_delta", "text", 0).alias("data")),
@@ -275,9 +278,10 @@ def _events(spark, sf, api):
     stops = F.array(
         *[F.struct((F.col("seq") * 2 + 2 + i).alias("pos"), F.lit(f'{{"type":"content_block_stop","index":{i}}}').alias("data")) for i in (0, 1)]
     )
-    return rows.select(
+    both = rows.select(
         "session", conv.alias("conv_id"), F.explode(F.when(F.col("is_final"), F.concat(events, stops)).otherwise(events)).alias("e")
-    ).select("session", "conv_id", "e.*"), vault
+    ).select("session", "conv_id", "e.*")
+    return frozen(both), vault
 
 
 def _restored_deltas(spark, sf, api):
