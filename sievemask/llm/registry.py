@@ -1,5 +1,5 @@
 """All queries of this package."""
 
-from sievemask.llm import exact_dedup
+from sievemask.llm import exact_dedup, mixing, warc
 
-QUERIES = {name: entry for module in (exact_dedup,) for name, entry in module.QUERIES.items()}
+QUERIES = {name: entry for module in (exact_dedup, mixing, warc) for name, entry in module.QUERIES.items()}
