@@ -6,7 +6,7 @@ declared length, never by searching. `to_warc` synthesises what ARC lacks: recor
 and offset), ISO timestamps, record types and SHA-1 digests; of equal payloads one record is the response and the others
 revisit it. `write_warc` and `read_warc` store and parse the records.
 
-An archive holds at most 1,024 records of up to 16 KiB or 16 longer ones, so one archive in memory is small. Spark's
+An archive is compressed and holds at most 1,024 records of up to 16 KiB or 16 longer ones, so one archive in memory is small. Spark's
 own writers and readers do all file access, so archives live wherever tables can.
 
 Defined cases: a null html is an empty payload; a null url becomes `urn:page:` and the id; white space in a url is
@@ -16,6 +16,7 @@ largest page_id of a group are responses; an empty table gives no rows; further
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -81,7 +82,7 @@ def _warc_leader(n: int) -> str:
 def _store(rows: DataFrame, size: Column, heads: Column, body: Column, path: str, leader: str, end: str) -> None:
     for kind, chosen, most in (("small", size < SMALL, MANY), ("large", size >= SMALL, FEW)):
         records = _led(rows.where(chosen).select(heads.alias("heads"), body.alias("body")), most, leader)
-        records.write.option("lineSep", end).option("maxRecordsPerFile", most + 1).text(f"{path}/{kind}")
+        records.write.option("lineSep", end).option("maxRecordsPerFile", most + 1).option("compression", "gzip").text(f"{path}/{kind}")
 
 
 def write_arc(pages: DataFrame, path: str, captured: str = "20240101000000") -> None:
@@ -138,7 +139,7 @@ def _parsed(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 held = []
-                for row in rows_of(name.as_py(), content.as_py()):
+                for row in rows_of(name.as_py(), gzip.decompress(content.as_py())):
                     held.append(row)
                     if len(held) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
@@ -146,7 +147,7 @@ def _parsed(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
     return files.select("path", "content").mapInArrow(parse, schema)
 
 
