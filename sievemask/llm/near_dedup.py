@@ -10,9 +10,11 @@ Nothing is done for each pair of a group:
 
 1. Documents with equal sets are one class, found by a fingerprint of 128 bits.
 2. In each band group, the classes are compared with the group's least and greatest member only.
-3. The links found make components. Where a band group still holds several, the classes of different components are
-   compared, in tiles of at most TILE x TILE, and only pairs whose estimate passes leave the tile.
-4. Verified links of both steps make the final components.
+3. The links found make components. Where a band group still holds several, members outside its largest component are
+   compared with one member of that, chosen by hash for each band group; HUB_ROUNDS times.
+4. Where a band group holds several components even then, the classes of different components are compared, in tiles of at most
+   TILE x TILE; a pair leaves the tile once (in the first band it shares), and only if its estimate passes.
+5. All verified links make the final components.
 
 So every pair of candidates is either compared, or already connected. Sets are rebuilt from the texts of documents in question; a
 filter of fixed size keeps the other texts out of the shuffle.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from sievemask.llm.common import fresh, mixed, runs, table, text_slices, words, written
 from sievemask.llm.components import components
 
-BANDS, ROWS, TILE = 32, 5, 256
+BANDS, ROWS, TILE, HUB_ROUNDS = 32, 5, 256, 2
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 0.15  # an estimate this far below the threshold is still verified: more than four standard errors
@@ -133,7 +135,7 @@ def _band_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(f):
             regs = np.frombuffer(b"".join(f["regs"]), np.uint16).reshape(len(f), BANDS, ROWS).astype(np.uint64)
             keys = mixed((regs * weights).sum(2) + weights[:, 0])
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(f["rep"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(f)), "rep": np.repeat(f["rep"].to_numpy(), BANDS)})
 
 
 def _likely(rows: DataFrame, threshold: float) -> DataFrame:
@@ -213,6 +215,9 @@ def _tile_pairs(threshold: float):
         for at in range(0, len(i), 4096):
             p, q = i[at : at + 4096], j[at : at + 4096]
             good = estimates(a[p], b[q], n[p, 0].astype(float), m[0, q].astype(float)) >= threshold - SLACK
+            p, q = p[good], q[good]
+            agree = (a[p] == b[q]).reshape(-1, BANDS, ROWS).all(2)
+            good = agree.argmax(1) == int(f["band"].iloc[0])
             out.append(np.stack([x[p[good], 0], y[0, q[good]]]))
         pair = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": pair.max(0), "b": pair.min(0)})
@@ -246,7 +251,7 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
     known = signed.where("print is not null and id is not null")
     reps = written(known.groupBy("print").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
 
-    entries = reps.select("rep", "regs").mapInPandas(_band_rows, "key long, rep long")
+    entries = reps.select("rep", "regs").mapInPandas(_band_rows, "key long, band int, rep long")
     groups = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("size > 1"), "band-groups")
     members = written(entries.join(groups, "key"), "band-members")
 
@@ -259,32 +264,47 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         side = {s: reps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}")) for s in ("a", "b")}
         return pairs.join(side["a"], "a").join(side["b"], "b")
 
+    def new_pairs(pairs: DataFrame, tried: DataFrame, name: str) -> DataFrame:
+        known = tried.select(F.greatest("a", "b").alias("_x"), F.least("a", "b").alias("_y"))
+        return written(pairs.join(known, (F.greatest("a", "b") == F.col("_x")) & (F.least("a", "b") == F.col("_y")), "left_anti"), name)
+
+    def open_members(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of the band groups that hold several components, with their components."""
+        placed = rows.drop("component").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = written(placed, "band-components")
+        ends = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l <> _h")
+        return written(placed.join(written(ends.select("key"), "open-groups"), "key", "left_semi"), "open-members")
+
     tried = written(_likely(with_registers(once), threshold), "star-pairs")
     links = written(verified(tried, texts, width, threshold), "star-links")
-    first = components(links)
+    labels = components(links)
+    members = open_members(members.drop("lo", "hi"), labels)
+    for turn in range(HUB_ROUNDS):
+        chosen = F.min_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("hub")
+        parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"), chosen)
+        largest = written(parts.groupBy("key").agg(F.max(F.struct("_n", "component", "hub")).alias("_top")), "hubs")
+        outside = members.join(largest, "key").where(F.col("component") != F.col("_top.component"))
+        pairs = outside.select(F.col("rep").alias("a"), F.col("_top.hub").alias("b")).distinct()
+        pairs = written(_likely(with_registers(new_pairs(pairs, tried, "hub-pairs")), threshold), "hub-likely")
+        found = written(verified(pairs, texts, width, threshold), "hub-links")
+        tried = tried.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        members = open_members(members, labels)
 
-    placed = members.join(first.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed.select("key", "rep", "size", "component"), "band-components")
-    several = written(
-        placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l <> _h").select("key"), "open-groups"
-    )
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     spread = (
-        placed.join(several, "key").join(reps.select("rep", "n", "regs"), "rep").withColumn("tiles", tiles).withColumn("own", own)
+        members.join(reps.select("rep", "n", "regs"), "rep").withColumn("tiles", tiles).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "rep", "n", "component", "regs")
+        .select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "rep", "n", "component", "regs")
     )
     laid_out = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    crossing = laid_out.mapInPandas(_tile_pairs(threshold), "a long, b long").distinct()
-    known_pairs = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = written(crossing.join(known_pairs, ["a", "b"], "left_anti"), "crossing-pairs")
-    if rest.isEmpty():
-        final = first
-    else:
-        more = written(verified(rest, texts, width, threshold), "crossing-links")
-        final = components(links.unionByName(more))
+    rest = new_pairs(laid_out.mapInPandas(_tile_pairs(threshold), "a long, b long"), tried, "crossing-pairs")
+    final = labels if rest.isEmpty() else components(links.unionByName(written(verified(rest, texts, width, threshold), "crossing-links")))
 
     of_class = reps.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     of_class = written(of_class, "class-components")
