@@ -1,5 +1,5 @@
 """All queries of this package."""
 
-from sievemask.llm import exact_dedup, langid, mixing, near_dedup, packing, token_counts, topk, warc
+from sievemask.llm import ctw, exact_dedup, html_text, langid, mixing, near_dedup, packing, token_counts, topk, warc
 
-QUERIES = {name: entry for module in (exact_dedup, langid, mixing, near_dedup, packing, token_counts, topk, warc) for name, entry in module.QUERIES.items()}
+QUERIES = {name: entry for module in (ctw, exact_dedup, html_text, langid, mixing, near_dedup, packing, token_counts, topk, warc) for name, entry in module.QUERIES.items()}
