@@ -256,8 +256,9 @@ def resolved(records: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = work_folder(spark, "arc"), work_folder(spark, "warc")
     write_arc(table(spark, sf_dir, "pages"), arc)
-    write_warc(to_warc(read_arc(spark, arc)), warc)
-    found = resolved(read_warc(spark, warc))
+    # Each archive is parsed once: its rows are read several times below.
+    write_warc(to_warc(written(read_arc(spark, arc), "arc-rows")), warc)
+    found = resolved(written(read_warc(spark, warc), "warc-rows"))
     sound = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
     return found.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
 
