@@ -33,12 +33,12 @@ def span_problems(samples: DataFrame) -> DataFrame:
     bad = broken(F.col("s"))
     found = F.array_compact(
         F.array(
-            F.when(bad, F.concat(shape, F.lit(" out of bounds for "), size.cast("string"), F.lit(" chars"))),
-            F.when(~bad & F.col("late"), F.concat(shape, F.lit(" overlaps or is out of order"))),
-            F.when(~bad & has_edge_space(covered), F.concat(F.lit("span "), quoted(covered), F.lit(" has surrounding whitespace"))),
+            F.when(bad, F.concat(shape, F.lit(" is not inside 0.."), size.cast("string"))),
+            F.when(~bad & F.col("late"), F.concat(shape, F.lit(" begins before the last one ends"))),
+            F.when(~bad & has_edge_space(covered), F.concat(F.lit("blank edge: "), quoted(covered))),
             F.when(
                 ~bad & ~F.coalesce(is_valid(F.col("s.entity"), covered), F.lit(True)),
-                F.concat(quoted(covered), F.lit(" is not a valid "), F.col("s.entity")),
+                F.concat(F.lit("fails the check of "), F.col("s.entity"), F.lit(": "), quoted(covered)),
             ),
         )
     )
@@ -53,8 +53,8 @@ def span_problems(samples: DataFrame) -> DataFrame:
 
 def validate(samples: DataFrame) -> DataFrame:
     """`(id, problem)` for every problem; no rows mean the corpus is consistent."""
-    twice = samples.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("problem"))
-    blank = samples.where(is_blank(F.col("text"))).select("id", F.lit("empty text").alias("problem"))
+    twice = samples.groupBy("id").count().where("count > 1").select("id", F.lit("id used twice").alias("problem"))
+    blank = samples.where(is_blank(F.col("text"))).select("id", F.lit("blank text").alias("problem"))
     return twice.unionByName(blank).unionByName(span_problems(samples).select("id", "problem"))
 
 

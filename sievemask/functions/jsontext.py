@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# String literals of JSON text. The first alternative eats keys, the second captures values.
-_STRING_VALUES = r'"(?:[^"\\]|\\.)*"\s*:|"((?:[^"\\]|\\.)*)"'
-_STRING_OR_KEY = r'"(?:[^"\\]|\\.)*"'
+# String literals of JSON text. The loops give nothing back, so the matcher walks them without recursion and a literal
+# may have any length.
+_INNER = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_STRING_OR_KEY = rf'"{_INNER}"'
+# The first alternative eats keys, the second captures values.
+_STRING_VALUES = rf'{_STRING_OR_KEY}\s*:|"({_INNER})"'
 
 
 def _wrapped(s: Column) -> Column:

@@ -43,50 +43,90 @@ def pattern_spans(text: Column, pattern: str) -> Column:
     One pass of the pattern puts a mark on both sides of each match; cutting at the mark then gives gaps and
     matches in turn, and a running sum of their lengths the offsets. A text that holds the mark itself is cut by
     the pattern directly."""
-    # Pieces alternate: gap, match, gap, …, gap.
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p)
-        hit = F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("value"))
-        return F.struct(
-            end.alias("at"), (~acc["is_hit"]).alias("is_hit"),
-            F.when(acc["is_hit"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
+    def found(pieces: Column) -> Column:
+        # Pieces alternate: gap, match, gap, …, gap.
+        def hits(ends: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(2), F.size(pieces), F.lit(2)),
+                lambda i: F.struct(
+                    F.element_at(ends, i - 1).alias("start"), F.element_at(ends, i).alias("end"), F.element_at(pieces, i).alias("value")
+                ),
+            )
+
+        ends = running(F.transform(pieces, F.length), lambda x, y: x + y, F.lit(0))
+        return F.when(F.size(pieces) > 1, bound(ends, hits)).otherwise(empty(FOUND))
+
+    return bound(_alternating(text, pattern), found)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with `value` evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def part(values: Column, first: Column, last: Column) -> Column:
+    """Elements `first` to `last`, counted from 1. `slice` would copy the whole array first."""
+    return F.transform(F.sequence(first, last), lambda i: F.element_at(values, i))
+
+
+STRIDE = 64
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: Column, element: str = "int") -> Column:
+    """Running totals (inclusive) of an array under an associative `merge`.
+
+    A plain fold that appends copies its array at every step. Here strides of the array are folded on their own and
+    then their totals, so an array of 100,000 costs a few steps for each element."""
+
+    def within(part: Column, start: Column) -> Column:
+        grown = F.aggregate(
+            part,
+            F.struct(start.alias("at"), empty(element).alias("out")),
+            lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out")),
+        )
+        return grown["out"]
+
+    def whole(v: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(v), F.lit(STRIDE))
+        stride = lambda i: part(v, i, F.least(i + STRIDE - 1, F.size(v)))
+        totals = F.transform(firsts, lambda i: F.aggregate(stride(i), zero, merge))
+        return bound(
+            within(totals, zero),
+            lambda upto: F.flatten(
+                F.transform(
+                    firsts,
+                    lambda i, k: within(stride(i), F.when(k == 0, zero).otherwise(F.get(upto, k - 1))),
+                )
+            ),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("is_hit"), empty(FOUND).alias("out"))
-    return F.aggregate(_alternating(text, pattern), start, step, lambda acc: acc["out"])
+    return bound(values, lambda v: F.when(F.size(v) <= STRIDE, within(v, zero)).otherwise(whole(v)))
 
 
 def clustered(
     spans: Column,
-    element: str,
     result: str,
     settle: Callable[[Column], Column],
+    reach: Callable[[Column], Column],
     starts_new: Callable[[Column, Column], Column],
+    zero: Column,
+    element: str = "int",
 ) -> Column:
-    """Sweeps `spans` (already in sweep order) and flattens `settle(cluster)` over runs of touching spans.
+    """`settle(cluster)` over runs of touching spans, one after the other. `spans` are in sweep order.
 
-    `starts_new(state, span)` decides whether a span opens a new cluster; `state` has `until` (the furthest end
-    so far) and `open` (the cluster)."""
+    `starts_new(span, furthest)` decides whether a span opens a cluster; `furthest` is the greatest `reach` before it."""
 
-    def closed(acc: Column) -> Column:
-        return F.concat(acc["done"], F.when(F.size(acc["open"]) > 0, settle(acc["open"])).otherwise(empty(result)))
+    def sweep(s: Column) -> Column:
+        def opens(furthest: Column) -> Column:
+            numbers = F.sequence(F.lit(1), F.size(s))
+            return F.filter(numbers, lambda i: (i == 1) | starts_new(F.element_at(s, i), F.element_at(furthest, F.greatest(i - 1, F.lit(1)))))
 
-    def step(acc: Column, span: Column) -> Column:
-        return F.when(
-            (F.size(acc["open"]) > 0) & ~starts_new(acc, span),
-            F.struct(
-                acc["done"].alias("done"),
-                F.concat(acc["open"], F.array(span)).alias("open"),
-                F.greatest(acc["until"], span["end"]).alias("until"),
-            ),
-        ).otherwise(
-            F.struct(closed(acc).alias("done"), F.array(span).alias("open"), span["end"].alias("until"))
-        )
+        def cut(at: Column) -> Column:
+            return F.flatten(F.transform(at, lambda i, k: settle(part(s, i, F.coalesce(F.get(at, k + 1) - 1, F.size(s))))))
 
-    start = F.struct(
-        empty(result).alias("done"), empty(element).alias("open"), F.lit(0).alias("until")
-    )
-    return F.aggregate(spans, start, step, closed)
+        return bound(bound(running(F.transform(s, reach), lambda x, y: F.greatest(x, y), zero, element), opens), cut)
+
+    return bound(spans, lambda s: F.when(F.size(s) > 0, sweep(s)).otherwise(empty(result)))
 
 
 CANDIDATE = "struct<start:int,end:int,rank:int,label:string,value:string>"
@@ -110,27 +150,17 @@ def resolve_overlaps(candidates: Column) -> Column:
         )
         return F.when(F.size(cluster) == 1, cluster).otherwise(F.sort_array(kept))
 
-    swept = clustered(
-        F.sort_array(candidates), CANDIDATE, CANDIDATE, settle, lambda acc, c: c["start"] >= acc["until"]
+    return clustered(
+        F.sort_array(candidates), CANDIDATE, settle, lambda c: c["end"], lambda c, furthest: c["start"] >= furthest, F.lit(-1)
     )
-    return swept
 
 
 def splice(text: Column, replacements: Column) -> Column:
     """`text` with each `(start, end, replacement)` put in; the array is in start order and disjoint."""
 
-    def step(acc: Column, r: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, r["start"] - acc["at"])
-        return F.struct(
-            r["end"].alias("at"), F.concat(acc["out"], F.array(gap, r["replacement"])).alias("out")
-        )
+    def around(r: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get(replacements, i - 1)["end"])
+        return F.concat(F.substring(text, before + 1, r["start"] - before), r["replacement"])
 
-    return F.aggregate(
-        replacements,
-        F.struct(F.lit(0).alias("at"), empty("string").alias("out")),
-        step,
-        lambda acc: F.concat(
-            F.array_join(acc["out"], ""),
-            F.substring(text, acc["at"] + 1, F.length(text)),
-        ),
-    )
+    rest = F.substring(text, F.coalesce(F.element_at(replacements, -1)["end"], F.lit(0)) + 1, F.length(text))
+    return F.when(F.size(replacements) == 0, text).otherwise(F.concat(F.array_join(F.transform(replacements, around), ""), rest))

@@ -13,7 +13,6 @@ from sievemask.functions.spans import clustered, empty, overlap
 from sievemask.operators.ranking import nearest_rank_percentiles
 from sievemask.schemas import PREDICTED, SPAN
 
-MARKED = "struct<entity:string,start:int,end:int,gold:boolean,i:int>"
 MATCHED = "struct<entity:string,gold:int,predicted:int,strict:int,relaxed:int>"
 
 
@@ -82,10 +81,13 @@ def match_spans(gold: Column, predicted: Column) -> Column:
 
     return clustered(
         F.sort_array(F.concat(marked(gold, True), marked(predicted, False))),
-        MARKED,
         MATCHED,
         settle,
-        lambda acc, s: (s["start"] > acc["until"]) | (s["entity"] != F.element_at(acc["open"], -1)["entity"]),
+        # Spans are sorted by type first, so the greatest (type, end) is the furthest end of the span's own type, if it has one.
+        lambda s: F.struct(s["entity"].alias("entity"), s["end"].alias("end")),
+        lambda s, furthest: (s["entity"] != furthest["entity"]) | (s["start"] > furthest["end"]),
+        F.struct(F.lit("").alias("entity"), F.lit(-1).alias("end")),
+        "struct<entity:string,end:int>",
     )
 
 

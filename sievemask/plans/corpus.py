@@ -91,10 +91,29 @@ def _q_value(kind, style):
     og, _, of, _ = _q_person("other")
     sg, _, sfam, _ = _q_person("stranger", _P)
     ten = f"({q_between(_S, 'mobile-head', 6, 9)}::VARCHAR || {q_digits(_S, 'mobile-tail', 9)})"
-    city, st, pin = (lambda c: _q_at(L.CITIES, c, "city")), None, None
-    pin = f"{city(4)} || lpad({q_between(_P, 'pin', 1, 99)}::VARCHAR, 3, '0')"
-    n, m, form = q_between(_P, "n", 1, 399), q_between(_P, "m", 1, 59), q_below(_P, "form", 3)
-    loc, bld, lmk = (lambda c: _q_at(L.LOCALITIES, c, "locality")), (lambda c: _q_at(L.BUILDINGS, c, "building")), (lambda c: _q_at(L.LANDMARKS, c, "landmark"))
+    city = lambda c: _q_at(L.CITIES, c, "town")
+    pin = f"{city(4)} || {q_digits(_P, 'pin', 3)}"
+    n = q_between(_P, "n", 1, 250)
+    loc, bld, lmk = (lambda c: _q_at(L.LOCALITIES, c, "area")), (lambda c: _q_at(L.BUILDINGS, c, "house")), (lambda c: _q_at(L.LANDMARKS, c, "mark"))
+
+    def address(c, block, plot, shop, facing, pin_word):
+        door = (
+            f"CASE {q_below(_P, 'door', 4)} WHEN 0 THEN {bld(c)} || ', {block} ' || {q_letters(_P, 'block', 1, 'ABCDEFGH')} || '-' || {n} WHEN 1 THEN '{plot} ' || {n} "
+            f"WHEN 2 THEN '{shop} ' || {n} || ' ({facing} ' || {lmk(c)} || ')' ELSE {n} || ' ' || {bld(c)} END"
+        )
+        region = f"CASE {q_below(_P, 'tail', 2)} WHEN 0 THEN {city(c)} || ' ' || {pin} ELSE {city(c)} || '; ' || {city(c + 2)} || '; {pin_word} ' || {pin} END"
+        return f"{door} || ', ' || {loc(c)} || ', ' || {region}"
+
+    def local_part(g, f, forms):
+        written = {
+            "family.given": f"{f} || '.' || {g}", "given-family": f"{g} || '-' || {f}", "i.family": f"{g}[1] || '.' || {f}",
+            "given+year": f"{g} || {q_between(_P, 'year-of-name', 1961, 2004)}", "my+given+digits": f"'my' || {g} || {q_digits(_P, 'tail-of-name', 3)}",
+            "family+i+digits": f"{f} || {g}[1] || {q_digits(_P, 'tail-of-name', 2)}",
+        }
+        ends = [sum(list(forms.values())[: i + 1]) for i in range(len(forms))]
+        drawn = q_below(_P, "form-of-name", ends[-1])
+        return "CASE " + " ".join(f"WHEN {drawn} < {e} THEN {written[x]}" for x, e in zip(forms, ends)) + " END"
+
     sub = {"aad": f"({q_between(_P, 'head', 2, 9)}::VARCHAR || {q_digits(_P, 'body', 10)})"}
     wrong = q_between(_P, "wrong", 1, 9)
     panned = lambda holder, initial: f"{q_letters(_P, 'pan-series', 3)} || {holder} || {initial} || {q_digits(_P, 'pan-serial', 4)} || {q_letters(_P, 'pan-last', 1)}"
@@ -106,17 +125,17 @@ def _q_value(kind, style):
         ("pan", "lower"): f"lower({panned(chr(39) + 'P' + chr(39), f'upper({mf}[1])')})",
         ("gstin", "upper"): f"gst || substr('0123456789{UPPER}', (gsti + 1)::INT, 1)",
         ("ifsc", "upper"): f"{q_pick(_P, 'bank', L.BANKS)} || '0' || {q_digits(_P, 'branch', 6)}",
-        ("upi", "name"): f"CASE {q_below(_P, 'shape', 3)} WHEN 0 THEN {_q_bare(mg)} || '.' || {_q_bare(mf)} WHEN 1 THEN {_q_bare(mg)} || {_q_bare(mf)} || {q_between(_P, 'suffix', 10, 99)} ELSE {_q_bare(mg)} || {q_between(_P, 'suffix', 100, 999)} END || '@' || {q_pick(_P, 'handle', L.UPI_HANDLES)}",
+        ("upi", "name"): f"{local_part(_q_bare(mg), _q_bare(mf), V.UPI_FORMS)} || '@' || {q_pick(_P, 'handle', L.UPI_HANDLES)}",
         ("upi", "phone"): f"{ten} || '@' || {q_pick(_P, 'handle', L.UPI_HANDLES)}",
         ("phone", "intl"): f"'+91 ' || {ten}[1:5] || ' ' || {ten}[6:10]",
         ("phone", "split"): f"{ten}[1:5] || ' ' || {ten}[6:10]",
-        ("email", "lower"): f"CASE {q_below(_P, 'shape', 4)} WHEN 0 THEN {_q_bare(mg)} || '.' || {_q_bare(mf)} WHEN 1 THEN {_q_bare(mg)} || {_q_bare(mf)} || {q_between(_P, 'suffix', 1, 99)} WHEN 2 THEN {_q_bare(mg)} || '_' || {_q_bare(mf)} || {q_between(_P, 'suffix', 70, 99)} ELSE {_q_bare(mg)}[1] || {_q_bare(mf)} END || '@' || {q_pick(_P, 'domain', L.EMAIL_DOMAINS)}",
+        ("email", "lower"): f"{local_part(_q_bare(mg), _q_bare(mf), V.EMAIL_FORMS)} || '@' || {q_pick(_P, 'domain', L.EMAIL_DOMAINS)}",
         ("passport", None): f"{q_pick(_P, 'series', PASSPORT_SERIES)} || {q_between(_P, 'first', 1, 9)} || {q_digits(_P, 'middle', 5)} || {q_between(_P, 'last', 1, 9)}",
         ("voter", None): f"{q_letters(_P, 'series', 3)} || {q_digits(_P, 'serial', 7)}",
-        ("vehicle", "spaced"): f"{q_pick(_P, 'state', L.VEHICLE_STATES)} || ' ' || lpad({q_between(_P, 'office', 1, 99)}::VARCHAR, 2, '0') || ' ' || {q_letters(_P, 'series', 2)}[1:{q_between(_P, 'series-length', 1, 2)}] || ' ' || lpad({q_between(_P, 'plate', 1, 9999)}::VARCHAR, 4, '0')",
+        ("vehicle", "spaced"): f"{q_pick(_P, 'state', L.VEHICLE_STATES)} || ' ' || lpad({q_between(_P, 'office', 1, 60)}::VARCHAR, 2, '0') || ' ' || CASE {q_below(_P, 'series-kind', 4)} WHEN 0 THEN {q_letters(_P, 'series', 1)} ELSE {q_letters(_P, 'series', 2)} END || ' ' || {q_digits(_P, 'plate', 4)}",
         ("name", "full"): f"{mg} || ' ' || {mf}", ("name", "deva_first"): mgd, ("other_name", "upper"): f"upper({og} || ' ' || {of})",
-        ("address", "latin"): f"CASE {form} WHEN 0 THEN 'Flat ' || {n} || ', ' || {bld(0)} || ', ' || {loc(0)} || ', ' || {city(0)} || ', ' || {city(2)} || ' ' || {pin} WHEN 1 THEN {n} || '/' || {m} || ', ' || {loc(0)} || ', ' || {city(0)} || ' - ' || {pin} ELSE 'House No. ' || {n} || ', ' || {loc(0)} || ', near ' || {lmk(0)} || ', ' || {city(0)} || ', ' || {city(2)} || ' - ' || {pin} END",
-        ("address", "deva"): f"CASE {form} WHEN 0 THEN 'मकान नं. ' || {n} || ', ' || {loc(1)} || ', ' || {city(1)} || ', ' || {city(3)} || ' - ' || {pin} WHEN 1 THEN 'फ्लैट ' || {n} || ', ' || {bld(1)} || ', ' || {loc(1)} || ', ' || {city(1)} || ' ' || {pin} ELSE {n} || '/' || {m} || ', ' || {loc(1)} || ', ' || {lmk(1)} || ' के पास, ' || {city(1)} || ' - ' || {pin} END",
+        ("address", "latin"): address(0, "Block", "Plot", "Shop", "facing", "PIN"),
+        ("address", "deva"): address(1, "ब्लॉक", "भूखंड", "दुकान", "सामने", "पिन"),
         ("dob", "iso"): _q_date(V.DOB_YEARS, "iso"), ("dob", "month_first"): _q_date(V.DOB_YEARS, "month_first"), ("dob", "deva"): _q_date(V.DOB_YEARS, "deva"),
         ("decoy_aadhaar", "plain"): f"aad || ((aadc::INT + {wrong}) % 10)", ("decoy_card", "plain"): f"crd || ((crdc::INT + {wrong}) % 10)",
         ("decoy_pan", None): panned(q_pick(_P, "holder", "".join(c for c in UPPER if c not in PAN_HOLDERS)), q_letters(_P, "initial", 1)),
@@ -125,7 +144,7 @@ def _q_value(kind, style):
         ("decoy_passport", None): f"{q_pick(_P, 'series', PASSPORT_SERIES)} || {q_between(_P, 'first', 1, 9)} || {q_digits(_P, 'middle', 5)} || {q_between(_P, 'last', 1, 9)}",
         ("decoy_gstin", None): f"gst || substr('0123456789{UPPER}', ((gsti + {q_between(_P, 'wrong', 1, 35)}) % 36 + 1)::INT, 1)",
         ("decoy_ifsc", None): f"CASE WHEN {q_letters(_P, 'prefix', 4)} IN ({q_list(L.BANKS)[1:-1]}) THEN 'X' || {q_letters(_P, 'prefix', 4)}[2:] ELSE {q_letters(_P, 'prefix', 4)} END || '0' || {q_letters(_P, 'tail', 6, 'ABCDEFGHJKLMNPQRSTUVWXYZ0123456789')}",
-        ("decoy_handle", None): f"CASE {q_below(_P, 'shape', 3)} WHEN 0 THEN '@' || {_q_bare(sg)} || '.' || {_q_bare(sfam)} WHEN 1 THEN '@' || {_q_bare(sg)} || '_' || {_q_bare(sfam)} || {q_between(_P, 'suffix', 10, 99)} ELSE '@the' || {_q_bare(sg)} || {_q_bare(sfam)} END",
+        ("decoy_handle", None): f"CASE WHEN {q_below(_P, 'handle-kind', 5)} < 2 THEN '@' || {_q_bare(sfam)} || '_' || {_q_bare(sg)} WHEN {q_below(_P, 'handle-kind', 5)} = 2 THEN '@real' || {_q_bare(sg)} || {q_digits(_P, 'handle-tail', 3)} ELSE '@' || {_q_bare(sg)} || '.writes' END",
         ("decoy_service_account", None): q_pick(_P, "account", L.SERVICE_ACCOUNTS),
     }[(kind, style)]
 
@@ -275,10 +294,10 @@ def template_rules(spark, sf):
     return B.template_problems(_order_templates(spark, sf))
 
 
-Q_RULES = f"""WITH {_Q_OT}, r AS (SELECT template_id, CASE k WHEN 2 THEN 'unknown filler `nonsense`' WHEN 3 THEN 'unknown style `loud` for `phone`' WHEN 4 THEN 'unclosed `{{`'
-  WHEN 5 THEN 'unmatched `}}`; write `}}}}}}}}` for a literal brace' WHEN 7 THEN 'labeled text ` x` is empty or padded with spaces'
-  ELSE CASE WHEN odd THEN 'unknown difficulty odd' WHEN k IN (1, 6) THEN 'a hard negative holds exactly one decoy and no other fillers' END END AS problem FROM ot)
-SELECT template_id, problem FROM r WHERE problem IS NOT NULL UNION ALL SELECT template_id, 'duplicate template id' FROM ot GROUP BY 1 HAVING count(*) > 1""".replace("{{", "{").replace("}}", "}")
+Q_RULES = f"""WITH {_Q_OT}, r AS (SELECT template_id, CASE k WHEN 2 THEN 'no such slot: nonsense' WHEN 3 THEN 'no such style: phone:loud' WHEN 4 THEN 'brace never shut'
+  WHEN 5 THEN 'brace never opened' WHEN 7 THEN 'literal with bare edges: [ x]'
+  ELSE CASE WHEN odd THEN 'no such difficulty: odd' WHEN k IN (1, 6) THEN 'decoy beside other slots' END END AS problem FROM ot)
+SELECT template_id, problem FROM r WHERE problem IS NOT NULL UNION ALL SELECT template_id, 'id used twice' FROM ot GROUP BY 1 HAVING count(*) > 1""".replace("{{", "{").replace("}}", "}")
 
 
 def noisy_texts(spark, sf):
@@ -287,11 +306,10 @@ def noisy_texts(spark, sf):
 
 Q_NOISY = f"""
 WITH c AS (SELECT conv_id, turn, text, unnest(range(length(text))) AS i FROM conversations),
-h AS (SELECT *, text[i + 1] AS ch, sha256('noise/' || conv_id || '/' || turn || '/' || i || '/noise') AS h FROM c),
-d AS (SELECT conv_id, turn, i, CASE WHEN i = 0 OR i = length(text) - 1 THEN ch
-  WHEN ch = ' ' AND {q_number('h', 1, 4)} % 100 < 8 THEN '' WHEN ch = ' ' AND {q_number('h', 5, 4)} % 100 < 4 THEN '  '
-  WHEN ch IN ('.', ',', ';', ':') AND {q_number('h', 1, 4)} % 100 < 20 THEN ''
-  WHEN ch IN ('O', 'o', 'l', 'I', 'S', 'B', 'e') AND {q_number('h', 1, 4)} % 100 < 5 THEN translate(ch, 'OolISBe', '001158c') ELSE ch END AS o FROM h)
+h AS (SELECT *, text[i + 1] AS ch, {q_number("sha256('noise/' || conv_id || '/' || turn || '/' || (i - 1) || '/scan')", 1, 6)} % 1000 AS u FROM c),
+d AS (SELECT conv_id, turn, i, CASE WHEN i = 0 OR i = length(text) - 1 THEN ch WHEN ch = ' ' AND u < {B.BLANK_LOST} THEN '' WHEN ch = ' ' AND u < {B.BLANK_LOST + B.BLANK_TWICE} THEN '  '
+  WHEN ch IN ('.', ',', ';', ':', '!', '?') AND u < {B.STOP_LOST} THEN ''
+  WHEN u < {B.MISREAD} THEN CASE ch {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in B.MISREADINGS.items())} ELSE ch END ELSE ch END AS o FROM h)
 SELECT conv_id, turn, md5(string_agg(o, '' ORDER BY i)) AS noisy FROM d GROUP BY 1, 2"""
 
 
@@ -316,10 +334,10 @@ def sample_flaws(spark, sf):
 
 
 Q_FLAWS = """WITH o AS (SELECT 'q' || CASE WHEN o_orderkey % 100 = 7 THEN 7 ELSE o_orderkey END AS id, o_orderkey % 8 AS k FROM orders)
-SELECT id, 'duplicate id' AS problem FROM o GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT id, 'empty text' FROM o WHERE k = 1
-UNION ALL SELECT id, 'span 4..99 out of bounds for 19 chars' FROM o WHERE k = 2 UNION ALL SELECT id, 'span 0..3 overlaps or is out of order' FROM o WHERE k = 3
-UNION ALL SELECT id, '"ABCPS1234" is not a valid PAN' FROM o WHERE k = 4 UNION ALL SELECT id, 'span 5..5 out of bounds for 19 chars' FROM o WHERE k = 5
-UNION ALL SELECT id, 'span " BCPS1234K" has surrounding whitespace' FROM o WHERE k = 6"""
+SELECT id, 'id used twice' AS problem FROM o GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT id, 'blank text' FROM o WHERE k = 1
+UNION ALL SELECT id, 'span 4..99 is not inside 0..19' FROM o WHERE k = 2 UNION ALL SELECT id, 'span 0..3 begins before the last one ends' FROM o WHERE k = 3
+UNION ALL SELECT id, 'fails the check of PAN: "ABCPS1234"' FROM o WHERE k = 4 UNION ALL SELECT id, 'span 5..5 is not inside 0..19' FROM o WHERE k = 5
+UNION ALL SELECT id, 'blank edge: " BCPS1234K"' FROM o WHERE k = 6"""
 
 
 def carried_over(spark, sf):
