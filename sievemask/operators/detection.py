@@ -94,15 +94,11 @@ def detect_with(df: DataFrame, key: str, detector: Callable[[str], list[dict]],
     )
 
 
-# Up to this many labels a map travels inside the plan; a larger one is joined.
-MAX_FOLDED_LABELS = 10_000
-
-
 def mapped_records(records: DataFrame, entity_map: DataFrame, key: str) -> DataFrame:
     """Turns `entities` of `detect_with` into `predicted`, keeping unknown labels as `unmapped`.
 
-    A tool's map is usually small (its size is checked): it is folded into one map value and looked up in the row,
-    so records are neither exploded nor shuffled. Otherwise the labels are joined and regrouped per record."""
+    Labels are joined with the map, whatever its size, and regrouped per record; a group holds the entities of one text. A label that the
+    map lists twice fails the query."""
     rest = ["status", "elapsed_ns", "wall_ns", "message"]
 
     def predicted(e: Column, mapped: Column) -> Column:
@@ -112,12 +108,11 @@ def mapped_records(records: DataFrame, entity_map: DataFrame, key: str) -> DataF
         )
 
     entities = F.coalesce(F.col("entities"), F.array().cast(f"array<{TOOL_ENTITY}>"))
-    if entity_map.limit(MAX_FOLDED_LABELS + 1).count() <= MAX_FOLDED_LABELS:
-        folded = entity_map.agg(F.map_from_entries(F.collect_set(F.struct("label", "entity"))).alias("_map"))
-        looked_up = F.transform(entities, lambda e: predicted(e, F.col("_map")[e["label"]]))
-        return records.withColumn("_map", folded.scalar()).select(key, "status", looked_up.alias("predicted"), *rest[1:])
+    twice = F.raise_error(F.concat(F.lit("the map lists a label twice: "), "label")).cast("string")
+    known = entity_map.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("entity").alias("entity"))
+    known = known.select("label", F.when(F.col("_n") > 1, twice).otherwise(F.col("entity")).alias("entity"))
     rows = records.select(key, F.posexplode(entities).alias("pos", "e")).withColumn("label", F.col("e.label"))
-    joined = rows.join(entity_map, "label", "left").groupBy(key).agg(
+    joined = rows.join(known, "label", "left").groupBy(key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", predicted(F.col("e"), F.col("entity")).alias("p")))), lambda x: x["p"]
         ).alias("predicted")

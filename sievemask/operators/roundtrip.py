@@ -30,7 +30,7 @@ def replies(aligned: DataFrame, learned: DataFrame) -> DataFrame:
     problem = F.col("aligned.problem")
     unknown = missing_slot(F.col("reply.chunks"), F.col("_map"))
     error = F.when(problem.isNotNull(), problem).when(
-        unknown.isNotNull(), F.concat(F.lit("no placeholder for slot "), unknown.cast("string"))
+        unknown.isNotNull(), F.concat(F.lit("slot not learned: "), unknown.cast("string"))
     )
     return (
         aligned.join(known, "conv_id", "left")

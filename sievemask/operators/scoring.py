@@ -94,11 +94,11 @@ def match_spans(gold: Column, predicted: Column) -> Column:
 def record_problems(samples: DataFrame, records: DataFrame) -> DataFrame:
     """Records that must not be scored: unknown sample ids and repeated records."""
     unknown = records.join(samples.select(F.col("id").alias("sample_id")), "sample_id", "left_anti").select(
-        "sample_id", F.lit("not in the dataset").alias("problem")
+        "sample_id", F.lit("unknown sample").alias("problem")
     ).distinct()
     repeated = (
         records.groupBy("sample_id").count().where("count > 1")
-        .select("sample_id", F.lit("appears more than once").alias("problem"))
+        .select("sample_id", F.lit("repeated record").alias("problem"))
     )
     return unknown.unionByName(repeated)
 

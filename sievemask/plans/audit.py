@@ -10,7 +10,7 @@ from sievemask.operators import audit as U
 from sievemask.operators import chat as C
 from sievemask.operators import roundtrip as R
 from sievemask.operators import scenario_rules as SR
-from sievemask.plans.common import big, digest_of, q_digits, q_letters, spread, table
+from sievemask.plans.common import big, digest_of, q_digits, q_letters, table
 from sievemask.schemas import SEGMENT, TOOL_CALL
 from sievemask.sources import sse
 
@@ -48,7 +48,7 @@ def scenarios(spark, sf):
     pan = F.concat(letters(key, "a", 3), F.lit("PS"), digits(key, "b", 4), letters(key, "c", 1))
     name = F.concat(F.lit("Ananya "), F.initcap(letters(key, "n", 5)))
     k = F.col("kind")
-    rows = spread(table(spark, sf, "conversations")).select(
+    rows = table(spark, sf, "conversations").select(
         "conv_id", "turn", "text", kind.alias("kind"), F.when(kind == 5, name).otherwise(pan).alias("first"),
         F.concat(F.lit("9"), digits(key, "d", 9)).alias("second"),
     )
@@ -172,7 +172,7 @@ Q_VERDICTS = f"""WITH {Q_SCENARIOS} SELECT conv_id, (['basic','streaming_split',
 
 def captured(spark, sf):
     """Tables as a proxy run would leave them, with one fault per scenario chosen by `fault` (0-9, 0 is none)."""
-    sc = scenarios(spark, sf).where("kind in (0, 2, 4)").withColumn("fault", F.pmod(F.length("id") + F.col("kind") * 3 + F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int"), F.lit(10)))
+    sc = scenarios(spark, sf).withColumn("fault", F.pmod(F.length("id") + F.col("kind") * 3 + F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int"), F.lit(10)))
     f, first, second = F.col("fault"), F.get("pii", F.lit(0)), F.get("pii", F.lit(1))
     leak = F.when(f == 1, first).when(f == 2, F.concat(F.substring(second, 1, 5), F.lit("-"), F.substring(second, 6, 5))).otherwise("[PAN_1]")
     payloads = sc.select(
@@ -204,7 +204,7 @@ def captured(spark, sf):
 
 _Q_FAULT = "((length(conv_id) + kind * 3 + ('0x' || substr(md5(conv_id), 1, 4))::INT) % 10)"
 Q_CAPTURED = f"""WITH {Q_SCENARIOS},
-f AS (SELECT *, {_Q_FAULT} AS fault FROM sc WHERE kind IN (0, 2, 4)),
+f AS (SELECT *, {_Q_FAULT} AS fault FROM sc),
 t AS (SELECT *, 0 AS turn, CASE WHEN kind = 2 THEN 'call' ELSE 'text' END AS expects FROM f
   UNION ALL SELECT *, 1, CASE WHEN kind = 4 THEN 'error' ELSE 'text' END FROM f),
 r AS (
@@ -246,9 +246,9 @@ def missing_turns(spark, sf):
     return U.script_failures(sc, short, log["script_errors"]).select("conv_id", "check", big("turn").alias("turn"), "detail")
 
 
-Q_MISSING = f"""WITH {Q_SCENARIOS}, f AS (SELECT *, {_Q_FAULT} AS fault FROM sc WHERE kind IN (0, 2, 4))
-SELECT conv_id, 'restored_exact' AS "check", 0::BIGINT AS turn, 'the upstream could not follow the script: turn 0: lost' AS detail FROM f WHERE fault = 2
-UNION ALL SELECT conv_id, 'restored_exact', NULL, 'client reported 1 turns, scenario has 2' FROM f WHERE length(conv_id) % 3 = 0"""
+Q_MISSING = f"""WITH {Q_SCENARIOS}, f AS (SELECT *, {_Q_FAULT} AS fault FROM sc)
+SELECT conv_id, 'restored_exact' AS "check", 0::BIGINT AS turn, 'script broke: turn 0: lost' AS detail FROM f WHERE fault = 2
+UNION ALL SELECT conv_id, 'restored_exact', NULL, 'turns seen: 1 of 2' FROM f WHERE length(conv_id) % 3 = 0"""
 
 
 def applicability(spark, sf):
@@ -271,10 +271,10 @@ def applicability(spark, sf):
 
 
 Q_APPLICABLE = f"""WITH {Q_SCENARIOS} SELECT conv_id, tool, CASE tool WHEN 'proxy' THEN 'proxy' WHEN 'redactor' THEN 'redact_only' ELSE 'library' END AS role,
-  CASE WHEN tool = 'proxy' THEN CASE WHEN kind % 2 = 1 THEN 'driver sdk does not speak anthropic_messages' END
-    WHEN tool = 'redactor' THEN 'tool cannot unmask (redact-only)' WHEN tool = 'batch' AND kind = 1 THEN 'streaming scenario; tool has no unmask_stream'
-    WHEN kind = 4 THEN 'failure behaviour is a property of proxies; a library tool has no upstream to fail' END AS reason,
-  CASE WHEN kind = 3 THEN 'control run: the script alters the raw value itself' END AS control_reason
+  CASE WHEN tool = 'proxy' THEN CASE WHEN kind % 2 = 1 THEN 'sdk lacks anthropic_messages' END
+    WHEN tool = 'redactor' THEN 'masks only' WHEN tool = 'batch' AND kind = 1 THEN 'cannot restore streams'
+    WHEN kind = 4 THEN 'has no upstream' END AS reason,
+  CASE WHEN kind = 3 THEN 'mangles what was never masked' END AS control_reason
 FROM sc, (VALUES ('full'), ('batch'), ('redactor'), ('proxy')) AS t(tool)"""
 
 
@@ -282,7 +282,7 @@ def scenario_problems(spark, sf):
     """Scenarios broken in one way each, by conversation."""
     broken = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 11
     b = F.col("b")
-    sc = scenarios(spark, sf).where("kind in (0, 2)").withColumn("b", broken)
+    sc = scenarios(spark, sf).withColumn("b", broken)
     turns = F.transform(
         "turns",
         lambda t, i: F.struct(
@@ -302,13 +302,13 @@ def scenario_problems(spark, sf):
     return SR.with_problem(changed).where("problem is not null").select(F.col("id").alias("conv_id"), "problem")
 
 
-Q_PROBLEMS = f"""WITH {Q_SCENARIOS}, p AS (SELECT conv_id, kind, ('0x' || substr(md5(conv_id), 1, 4))::INT % 11 AS b FROM sc WHERE kind IN (0, 2)),
-q AS (SELECT conv_id, CASE WHEN b IN (8, 10) THEN 'a scenario needs at least one turn, one check and one pii value' WHEN b = 6 THEN 'a pii value is empty'
-  WHEN b = 1 THEN 'turn 0: slot 5 has no pii value' WHEN b = 2 THEN 'turn 0: two slots need literal text between them to be told apart'
-  WHEN b = 9 AND kind = 2 THEN 'turn 0: tool call to verify, which is not in `tools`'
-  WHEN b = 3 AND kind = 2 THEN 'turn 1: tool result zz does not answer the previous turn''s call'
-  WHEN b = 4 THEN 'turn 1: http_error status 200 is not a 4xx or 5xx code' WHEN b = 5 THEN 'turn 1: reply uses slot 7 before any input contains it'
-  WHEN b = 7 THEN '`fails_closed` goes with, and only with, an `http_error` reply' END AS problem FROM p)
+Q_PROBLEMS = f"""WITH {Q_SCENARIOS}, p AS (SELECT conv_id, kind, ('0x' || substr(md5(conv_id), 1, 4))::INT % 11 AS b FROM sc),
+q AS (SELECT conv_id, CASE WHEN b IN (8, 10) THEN 'nothing to run' WHEN b = 6 THEN 'blank value'
+  WHEN b = 1 THEN 'turn 0: slot without value: 5' WHEN b = 2 THEN 'turn 0: slot beside slot'
+  WHEN b = 9 AND kind = 2 THEN 'turn 0: call of an undeclared tool: verify'
+  WHEN b = 3 AND kind = 2 THEN 'turn 1: result for no open call: zz'
+  WHEN b = 4 THEN 'turn 1: status is no error: 200' WHEN b = 5 THEN 'turn 1: slot replied before it was given: 7'
+  WHEN b = 7 AND kind <> 4 THEN 'fails_closed and http_error go together' END AS problem FROM p)
 SELECT conv_id, problem FROM q WHERE problem IS NOT NULL"""
 
 
@@ -319,7 +319,7 @@ def repeated_ids(spark, sf):
 
 def parsed_requests(spark, sf):
     """Requests in both formats: content as a string, as blocks, and as a tool result."""
-    rows = spread(table(spark, sf, "conversations")).withColumn("api", F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages"))
+    rows = table(spark, sf, "conversations").withColumn("api", F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages"))
     text = F.expr("substring(q, 2, length(q) - 2)")
     q = F.to_json(F.array("text"))
     last = (
@@ -348,7 +348,7 @@ Q_PATHS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'openai_chat' WHEN 1 T
 
 
 def parsed_responses(spark, sf):
-    rows = spread(table(spark, sf, "conversations")).withColumn("q", F.to_json(F.array("text")))
+    rows = table(spark, sf, "conversations").withColumn("q", F.to_json(F.array("text")))
     text = F.expr("substring(q, 2, length(q) - 2)")
     api = F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages")
     body = F.when(
@@ -368,7 +368,7 @@ Q_RESPONSES = """SELECT conv_id, turn, md5(text || CASE WHEN turn % 2 = 1 THEN '
 def captured_bodies(spark, sf):
     """Streamed replies as captured: event-stream text of both formats, with carriage returns, a comment, and an
     end that was cut off."""
-    rows = spread(table(spark, sf, "conversations"))
+    rows = table(spark, sf, "conversations")
     n = F.ceil(F.length("text") / 25).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.to_json(F.array(F.substring("text", i * 25 + 1, F.lit(25)))))
     bare = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
@@ -425,7 +425,7 @@ QUERIES = {
     "missing_turns": (missing_turns, Q_MISSING),
     "applicability": (applicability, Q_APPLICABLE),
     "scenario_problems": (scenario_problems, Q_PROBLEMS),
-    "repeated_ids": (repeated_ids, f"WITH {Q_SCENARIOS} SELECT conv_id AS id, 'duplicate scenario id' AS problem FROM sc WHERE kind = 3"),
+    "repeated_ids": (repeated_ids, f"WITH {Q_SCENARIOS} SELECT conv_id AS id, 'id used twice' AS problem FROM sc WHERE kind = 3"),
     "parsed_requests": (parsed_requests, Q_REQUESTS),
     "api_paths": (api_paths, Q_PATHS),
     "parsed_responses": (parsed_responses, Q_RESPONSES),

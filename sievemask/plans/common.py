@@ -15,13 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For heavy work per row: spreads a scan that has fewer splits than there are cores. Inputs of any size have
-    more, and pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     base = shared_dir(spark)

@@ -15,7 +15,7 @@ from sievemask.operators import detection as D
 from sievemask.operators import scoring as S
 from sievemask.plans.common import (
     big, digest_of, q_below, q_between, q_digest, q_digits, q_grouped, q_gstin_index, q_letters, q_list, q_luhn_digit,
-    q_number, q_pick, q_verhoeff_digit, q_verhoeff_state, spread, table,
+    q_number, q_pick, q_verhoeff_digit, q_verhoeff_state, table,
 )
 from sievemask.sources import samples as SRC
 
@@ -30,7 +30,7 @@ def seeded_draws(spark, sf):
     """The draws everything else is made of."""
     k = _key("draw", "o_orderkey")
     h = digest(k, "c")
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         "o_orderkey", big(below(k, "a", 10)).alias("below_ten"), big(between(k, "b", 5, 9)).alias("between"),
         pick(k, "p", ("x", "y", "z")).alias("pick"), chance(h, 1, 20).alias("chance"), digits(k, "d", 11).alias("digits"), letters(k, "l", 4).alias("letters"),
     )
@@ -53,7 +53,7 @@ TRIED = (
 def filler_values(spark, sf):
     tried = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).cast("string").alias("style")) for k, s in TRIED])
     sample = _key("fill", "c_custkey")
-    rows = spread(table(spark, sf, "customer")).withColumn("people", V.people(sample)).select("c_custkey", "people", F.explode(tried).alias("t"))
+    rows = table(spark, sf, "customer").withColumn("people", V.people(sample)).select("c_custkey", "people", F.explode(tried).alias("t"))
     value = V.filled(F.col("t.kind"), F.col("t.style"), F.lit("en"), F.col("people"), F.concat(sample, F.lit("/0")))
     return rows.select("c_custkey", "t.kind", "t.style", value.alias("value"))
 
@@ -170,7 +170,7 @@ def corpus(spark, sf):
     """A sample per order: its key picks the template and the index."""
     names = [t[0] for t in T.TEMPLATES]
     k = F.col("o_orderkey")
-    rows = spread(table(spark, sf, "orders")).select(
+    rows = table(spark, sf, "orders").select(
         F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int")).alias("template_id"), F.floor(k / len(names)).alias("n")
     )
     return B.rendered(rows, T.builtin(spark), SEED)
@@ -224,7 +224,7 @@ def _q_ids() -> str:
 def kyc_texts(spark, sf):
     """Whole rendered texts of one template."""
     k = F.col("c_custkey")
-    rows = spread(table(spark, sf, "customer")).select(F.lit("en-kyc").alias("template_id"), k.alias("n"))
+    rows = table(spark, sf, "customer").select(F.lit("en-kyc").alias("template_id"), k.alias("n"))
     c = B.rendered(rows, T.builtin(spark), SEED)
     spans = F.array_join(F.transform("labels.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["entity"])), " ")
     return c.select("id", "text", spans.alias("spans"))
@@ -265,7 +265,7 @@ def _order_templates(spark, sf):
         .when(k == 6, F.lit("{decoy_pnr} {decoy_card:plain}"))
         .otherwise(F.lit("{=PAN: x}{decoy_pan:upper}"))
     )
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / F.when(F.col("o_orderkey") < 20, 10).otherwise(1)).cast("string")).alias("template_id"), F.lit("en").alias("lang"),
         F.when(F.col("o_custkey") % 50 == 0, "odd").otherwise("easy").alias("difficulty"), F.lit("template").alias("source"), F.lit(False).alias("noisy"), text.alias("text"),
     )
@@ -301,7 +301,7 @@ SELECT template_id, problem FROM r WHERE problem IS NOT NULL UNION ALL SELECT te
 
 
 def noisy_texts(spark, sf):
-    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", digest_of(B.noisy(F.col("text"), F.concat_ws("/", F.lit("noise"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))).alias("noisy"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", digest_of(B.noisy(F.col("text"), F.concat_ws("/", F.lit("noise"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))).alias("noisy"))
 
 
 Q_NOISY = f"""
@@ -323,7 +323,7 @@ def _flawed(spark, sf):
         .when(k == 3, F.array(span(4, 14, "PAN"), span(0, 3, "PERSON_NAME"))).when(k == 4, F.array(span(4, 13, "PAN"))).when(k == 5, F.array(span(5, 5, "PAN"), span(4, 14, "PAN")))
         .when(k == 6, F.array(span(4, 14, "PERSON_NAME"))).otherwise(F.array(span(4, 14, "PAN")))
     )
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         F.concat(F.lit("q"), F.when(F.col("o_orderkey") % 100 == 7, 7).otherwise(F.col("o_orderkey")).cast("string")).alias("id"), text.alias("text"),
         F.struct(F.lit("positive").alias("kind"), spans.alias("spans"), F.lit(None).cast("string").alias("decoy")).alias("labels"),
     )
@@ -358,7 +358,7 @@ def rebuilt_corpus(spark, sf):
     """Two builds of the same corpus, laid out differently, have one fingerprint; another seed has another."""
     one = SRC.fingerprint(corpus(spark, sf)).select(F.lit(0).alias("k"), "sample_count", F.col("fingerprint").alias("a"))
     two = SRC.fingerprint(corpus(spark, sf).repartition(5)).select(F.lit(0).alias("k"), F.col("fingerprint").alias("b"))
-    rows = spread(table(spark, sf, "orders")).select(F.lit("en-kyc").alias("template_id"), F.col("o_orderkey").alias("n"))
+    rows = table(spark, sf, "orders").select(F.lit("en-kyc").alias("template_id"), F.col("o_orderkey").alias("n"))
     other = SRC.fingerprint(B.rendered(rows, T.builtin(spark), SEED + 1)).select(F.lit(0).alias("k"), F.col("fingerprint").alias("c"))
     return one.join(two, "k").join(other, "k").select(big("sample_count").alias("samples"), (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
 

@@ -13,7 +13,7 @@ from sievemask.functions import placeholders as P
 from sievemask.functions import text as X
 from sievemask.plans.common import (
     big, digest_of, q_digits, q_gstin_index, q_letters, q_list, q_luhn_digit, q_luhn_sum, q_verhoeff_digit,
-    q_verhoeff_state, spread, table,
+    q_verhoeff_state, table,
 )
 
 
@@ -28,7 +28,7 @@ Q_KEY = "'ids/' || o_orderkey"
 def grouping_and_digits(spark, sf):
     s = F.concat(digits(_key(), "a", 8), digits(_key(), "b", 8))
     sep = F.element_at(F.array(F.lit(""), F.lit(" "), F.lit("-")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         "o_orderkey", s.alias("s"), X.group_by_four(s, sep).alias("grouped")
     ).select(
         "o_orderkey", "grouped", X.ungrouped(F.col("grouped")).alias("plain"),
@@ -48,7 +48,7 @@ SELECT o_orderkey, substr(s,1,4)||sep||substr(s,5,4)||sep||substr(s,9,4)||sep||s
 
 def verhoeff_digits(spark, sf):
     d11, d12 = digits(_key(), "v", 11), F.concat(digits(_key(), "v", 11), digits(_key(), "w", 1))
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         "o_orderkey", big(C.verhoeff_check_digit(d11)).alias("check_digit"), C.verhoeff_is_valid(d12).alias("valid"),
         C.verhoeff_is_valid(F.concat(d11, C.verhoeff_check_digit(d11).cast("string"))).alias("closes"),
     )
@@ -63,7 +63,7 @@ SELECT o_orderkey, ({q_verhoeff_digit(q_digits(Q_KEY, 'v', 11))})::BIGINT AS che
 def luhn_digits(spark, sf):
     d = F.concat(digits(_key(), "l", 10), digits(_key(), "m", 5))
     whole = F.concat(d, digits(_key(), "n", 1))
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         "o_orderkey", big(C.luhn_check_digit(d)).alias("check_digit"), C.luhn_is_valid(whole).alias("valid")
     )
 
@@ -76,7 +76,7 @@ SELECT o_orderkey, ({q_luhn_digit(Q_D15)})::BIGINT AS check_digit,
 
 def gstin_chars(spark, sf):
     body = F.concat(digits(_key(), "s", 2), letters(_key(), "p", 5), digits(_key(), "q", 4), letters(_key(), "r", 1), F.lit("1Z"))
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         "o_orderkey", C.gstin_check_char(body).alias("check_char"),
         C.gstin_check_char(F.lower(body)).isNull().alias("rejects_lower_case"),
     )
@@ -113,7 +113,7 @@ def _typed_rows(spark, sf):
         "PERSON_NAME": a5,
     }
     pairs = F.array(*[F.struct(F.lit(e).alias("entity"), t.alias("text")) for e, t in made.items()])
-    return spread(table(spark, sf, "orders")).select("o_orderkey", F.explode(pairs).alias("p")).select("o_orderkey", "p.*")
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(pairs).alias("p")).select("o_orderkey", "p.*")
 
 
 def identifier_validity(spark, sf):
@@ -165,7 +165,7 @@ SELECT o_orderkey, entity, text, CASE entity
 def code_point_offsets(spark, sf):
     text = F.concat(F.lit("😀"), "text", F.lit("🎉x"))
     n = F.length("text")
-    return spread(table(spark, sf, "documents")).select("doc_id", text.alias("t"), n.alias("n")).select(
+    return table(spark, sf, "documents").select("doc_id", text.alias("t"), n.alias("n")).select(
         "doc_id", big(X.code_point_offset(F.col("t"), F.lit(0))).alias("first"),
         big(X.code_point_offset(F.col("t"), F.lit(2))).alias("second"),
         big(X.code_point_offset(F.col("t"), F.col("n") + 4)).alias("after_all"),
@@ -201,7 +201,7 @@ SELECT l_suppkey, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p
 
 
 def folded_texts(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", digest_of(X.alnum_folded(F.col("text"))).alias("folded"),
         digest_of(X.excerpt(F.col("text"))).alias("excerpt"), X.has_edge_space(F.col("text")).alias("edge_space"),
         X.is_blank(F.col("text")).alias("blank"),
@@ -222,7 +222,7 @@ def placeholder_anatomy(spark, sf):
         (F.col("o_orderkey") % 4 + 1).cast("int"),
     )
     c = F.col("p")
-    return spread(table(spark, sf, "orders")).select("o_orderkey", p.alias("p")).select(
+    return table(spark, sf, "orders").select("o_orderkey", p.alias("p")).select(
         "o_orderkey", P.opening(c).alias("opening"), P.inner(c).alias("core"), P.closing(c).alias("closing"),
         *[P.mangled(c, F.lit(m)).alias(m) for m in ("lowercase", "uppercase", "strip_delimiters", "space_padded")],
         F.array_join(P.fragments(c), "|").alias("fragments"),
@@ -248,7 +248,7 @@ def json_texts(spark, sf):
     props, k = F.col("props"), F.col("event_id") % 6
     variant = (
         F.when(k == 0, props).when(k == 1, F.concat(props, F.lit(" x"))).when(k == 2, F.concat(props, props))
-        .when(k == 3, F.concat(F.lit("["), props, F.lit(",1.5,null]"))).when(k == 4, F.substring(props, 2, 100))
+        .when(k == 3, F.concat(F.lit("["), props, F.lit(",1.5,null]"))).when(k == 4, F.expr("substring(props, 2)"))
         .otherwise(F.concat(F.lit(' { "z" : "a\\"b" , "a" : '), props, F.lit("}")))
     )
     turned = F.when(k == 5, F.concat(F.lit('{"a":'), props, F.lit(',"z":"a\\u0022b"}'))).when(

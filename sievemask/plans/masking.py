@@ -8,7 +8,7 @@ from sievemask.corpus.draws import digits, letters
 from sievemask.operators import chat as C
 from sievemask.operators import holdback as H
 from sievemask.operators import vault as V
-from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, spread, table
+from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, table
 from sievemask.session import frozen
 from sievemask.streaming import holdback as SH
 from sievemask.streaming import masking as SM
@@ -31,9 +31,9 @@ def messages(spark, sf, shared: bool = False):
         "text", F.lit("\nPAN "), pan, F.when(F.col("turn") % 2 == 1, F.concat(F.lit(", call "), _phone(key, "m"))).otherwise(""),
         F.lit(". [end]"),
     )
-    return spread(table(spark, sf, "conversations")).select(
+    return table(spark, sf, "conversations").select(
         (F.lit("all") if shared else F.col("conv_id").cast("string")).alias("session"),
-        (F.col("conv_id") * 1000 + F.col("turn") if shared else F.col("turn")).alias("seq"), "conv_id", "turn", text.alias("text"),
+        (F.struct("conv_id", "turn") if shared else F.col("turn")).alias("seq"), "conv_id", "turn", text.alias("text"),
     )
 
 
@@ -53,8 +53,8 @@ texts AS (SELECT *, body || chr(10) || 'PAN ' || pan || coalesce(', call ' || ph
 def _q_vault(session: str) -> str:
     """Distinct values by first appearance within `session`."""
     return f"""
-v AS (SELECT {session} AS session, 'PAN' AS label, pan AS value, min(conv_id * 1000 + turn) AS first FROM m GROUP BY 1, 2, 3
-  UNION ALL SELECT {session}, 'PHONE', phone, min(conv_id * 1000 + turn) FROM m WHERE phone IS NOT NULL GROUP BY 1, 2, 3),
+v AS (SELECT {session} AS session, 'PAN' AS label, pan AS value, min({{'c': conv_id, 't': turn}}) AS first FROM m GROUP BY 1, 2, 3
+  UNION ALL SELECT {session}, 'PHONE', phone, min({{'c': conv_id, 't': turn}}) FROM m WHERE phone IS NOT NULL GROUP BY 1, 2, 3),
 vault AS (SELECT *, row_number() OVER (PARTITION BY session, label ORDER BY first) AS n FROM v),
 named AS (SELECT *, '[' || label || '_' || n || ']' AS placeholder FROM vault)"""
 
@@ -118,20 +118,23 @@ def swapped_values(spark, sf):
     rows = messages(spark, sf)
     spans = V.session_spans(rows)
 
+    def at_least_four(n):
+        return F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0"))
+
     def stand_in(label, n):
-        return F.when(label == "PAN", F.concat(F.lit("AAAPA"), F.lpad(n.cast("string"), 4, "0"), F.lit("Z"))).otherwise(
-            F.concat(F.lit("555-"), F.lpad(n.cast("string"), 4, "0"))
+        return F.when(label == "PAN", F.concat(F.lit("AAAPA"), at_least_four(n), F.lit("Z"))).otherwise(
+            F.concat(F.lit("555-"), at_least_four(n))
         )
 
     vault = V.build_vault(spans, stand_in)
     swapped = V.mask_with(rows, spans, vault)
     texts = swapped.select("session", "seq", "conv_id", "turn", F.col("masked").alias("text"))
-    back = V.unmask(texts, vault, pattern=r"AAAPA[0-9]{4}Z|555-[0-9]{4}")
+    back = V.unmask(texts, vault, pattern=r"AAAPA[0-9]{4,}Z|555-[0-9]{4,}")
     return back.select("conv_id", "turn", digest_of("text").alias("swapped"), digest_of("unmasked").alias("restored"))
 
 
 Q_SWAPPED = f"""WITH {Q_MESSAGES}, {_q_vault('conv_id::VARCHAR')}
-SELECT m.conv_id, m.turn, md5(body || chr(10) || 'PAN AAAPA' || lpad(p.n::VARCHAR, 4, '0') || 'Z' || coalesce(', call 555-' || lpad(q.n::VARCHAR, 4, '0'), '') || '. [end]') AS swapped,
+SELECT m.conv_id, m.turn, md5(body || chr(10) || 'PAN AAAPA' || lpad(p.n::VARCHAR, greatest(4, length(p.n::VARCHAR))::INT, '0') || 'Z' || coalesce(', call 555-' || lpad(q.n::VARCHAR, greatest(4, length(q.n::VARCHAR))::INT, '0'), '') || '. [end]') AS swapped,
   md5(text) AS restored FROM texts m JOIN named p ON p.label = 'PAN' AND p.session = m.conv_id::VARCHAR AND p.value = m.pan
   LEFT JOIN named q ON q.label = 'PHONE' AND q.session = m.conv_id::VARCHAR AND q.value = m.phone"""
 

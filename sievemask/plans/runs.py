@@ -82,13 +82,13 @@ def scenario_matrix(spark, sf):
         F.col("o_custkey").cast("string").alias("scenario_id"), F.substring("o_orderpriority", 1, 1).alias("run_id"),
         F.struct(F.when(F.col("s") == "F", "fail").when(F.col("s") == "O", "pass").otherwise("not_applicable").alias("status")).alias("outcome"),
     )
-    m = R.scenario_matrix(rows, ["1", "2", "3"])
-    return m.select("scenario_id", *[F.col(f"`{c}`").alias(f"run_{c}") for c in ("1", "2", "3")])
+    m = R.scenario_matrix(rows, list("12345"))
+    return m.select("scenario_id", *[F.col(f"`{c}`").alias(f"run_{c}") for c in "12345"])
 
 
 Q_MATRIX = """WITH f AS (SELECT o_custkey, o_orderpriority[1] AS p, arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2),
 l AS (SELECT o_custkey, p, CASE s WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'pass' ELSE 'n/a' END AS o FROM f)
-SELECT o_custkey::VARCHAR AS scenario_id, coalesce(max(o) FILTER (p = '1'), '–') AS run_1, coalesce(max(o) FILTER (p = '2'), '–') AS run_2, coalesce(max(o) FILTER (p = '3'), '–') AS run_3 FROM l GROUP BY 1"""
+SELECT o_custkey::VARCHAR AS scenario_id, coalesce(max(o) FILTER (p = '1'), '–') AS run_1, coalesce(max(o) FILTER (p = '2'), '–') AS run_2, coalesce(max(o) FILTER (p = '3'), '–') AS run_3, coalesce(max(o) FILTER (p = '4'), '–') AS run_4, coalesce(max(o) FILTER (p = '5'), '–') AS run_5 FROM l GROUP BY 1"""
 
 
 def failure_list(spark, sf):
@@ -109,7 +109,7 @@ count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 2 = 0) AS other_failures F
 
 
 def dataset_conflicts(spark, sf):
-    manifests = table(spark, sf, "customer").where("c_custkey < 4").select(
+    manifests = table(spark, sf, "customer").select(
         F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("version"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("fingerprint")
     ).where("version <> 'v2'")
     return RS.dataset_conflicts(runs(spark, sf), manifests)
@@ -190,13 +190,11 @@ def _detection_records(spark, sf):
 
 
 def stored_runs(spark, sf):
-    """Runs and their records written as folders, one per order priority, and loaded again, oldest first."""
+    """Runs of all customers, and records of five of them (one per order priority), written in one job each and loaded again."""
     base = scratch(spark, "results")
-    records = _detection_records(spark, sf)
-    listed = runs(spark, sf)
-    for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")):
-        listed.where(F.col("run_id") == f"r{i * 2}").write.mode("overwrite").json(f"{base}/r{i * 2}/meta")
-        RS.stored_records(records.where(F.col("o_orderpriority") == p)).write.mode("overwrite").json(f"{base}/r{i * 2}/detections")
+    run_id = F.concat(F.lit("r"), ((F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 2).cast("string"))
+    RS.store_runs(runs(spark, sf), base)
+    RS.store_records(_detection_records(spark, sf).withColumn("run_id", run_id), base)
     back = RS.load_detections(spark, base)
     meta = RS.load_runs(spark, base).select("run_id", "started_at")
     sums = back.groupBy("run_id").agg(
@@ -204,12 +202,29 @@ def stored_runs(spark, sf):
         big(F.sum(F.size(F.filter(F.coalesce("predicted", F.array().cast("array<struct<start:int,end:int,mapped:string,unmapped:string>>")), lambda p: p["unmapped"] == "ORG")))).alias("org"),
         F.max("message").alias("message"),
     )
-    return meta.join(sums, "run_id")
+    return meta.join(sums, "run_id", "left")
 
 
-Q_STORED = f"""WITH {Q_RUNS} SELECT run_id, any_value(started_at) AS started_at, count(*) AS records, count(*) FILTER (o_orderkey % 5 = 0) AS failed, sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 2 END)::BIGINT AS elapsed,
-sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 3 END)::BIGINT AS wall, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 2 = 1) AS org, 'boom' AS message
-FROM orders JOIN runs ON run_id = 'r' || ((o_orderpriority[1])::INT - 1) * 2 GROUP BY 1"""
+def stored_restores(spark, sf):
+    """Restore outcomes of five runs written and loaded again."""
+    base = scratch(spark, "results")
+    rows = restores(spark, sf)
+    RS.store_restores(rows.withColumn("run_id", F.concat(F.lit("p"), (F.col("scenario_id").cast("long") % 5).cast("string"))), base)
+    back = RS.load_restores(spark, base)
+    return back.groupBy("run_id", F.col("outcome.status").alias("status")).agg(
+        big(F.count(F.lit(1))).alias("n"), big(F.sum(F.coalesce(F.size("outcome.failures"), F.lit(0)))).alias("failures"), F.max("outcome.reason").alias("reason")
+    )
+
+
+Q_STORED_RESTORES = """SELECT 'p' || o_orderkey % 5 AS run_id, CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'pass' ELSE 'not_applicable' END AS status, count(*) AS n,
+sum(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS failures,
+max(CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'n/a here' END) AS reason FROM orders GROUP BY 1, 2"""
+
+
+Q_STORED = f"""WITH {Q_RUNS}, o AS (SELECT 'r' || ((o_orderpriority[1])::INT - 1) * 2 AS run_id, o_orderkey FROM orders),
+s AS (SELECT run_id, count(*) AS records, count(*) FILTER (o_orderkey % 5 = 0) AS failed, sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 2 END)::BIGINT AS elapsed,
+  sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 3 END)::BIGINT AS wall, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 2 = 1) AS org, 'boom' AS message FROM o GROUP BY 1)
+SELECT run_id, started_at, records, failed, elapsed, wall, org, message FROM runs LEFT JOIN s USING (run_id)"""
 
 
 def appended_records(spark, sf):
@@ -236,5 +251,6 @@ QUERIES = {
     "written_dataset": (written_dataset, "SELECT 'v1' AS version, count(*) AS sample_count, true AS ok, true AS first, false AS again, true AS refused FROM conversations"),
     "order_fingerprint": (order_fingerprint, Q_FINGERPRINT),
     "stored_runs": (stored_runs, Q_STORED),
+    "stored_restores": (stored_restores, Q_STORED_RESTORES),
     "appended_records": (appended_records, Q_APPENDED),
 }

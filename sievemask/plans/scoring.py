@@ -173,8 +173,8 @@ def records_that_do_not_fit(spark, sf):
     return S.record_problems(samples.where(F.col("id").cast("long") % 2 == 0), records.unionByName(twice))
 
 
-Q_MISFITS = f"""WITH {Q_BASE} SELECT o_orderkey::VARCHAR AS sample_id, 'not in the dataset' AS problem FROM o WHERE recorded AND o_orderkey % 2 = 1
-UNION ALL SELECT o_orderkey::VARCHAR, 'appears more than once' FROM o WHERE recorded AND o_orderkey % 10 = 0"""
+Q_MISFITS = f"""WITH {Q_BASE} SELECT o_orderkey::VARCHAR AS sample_id, 'unknown sample' AS problem FROM o WHERE recorded AND o_orderkey % 2 = 1
+UNION ALL SELECT o_orderkey::VARCHAR, 'repeated record' FROM o WHERE recorded AND o_orderkey % 10 = 0"""
 
 
 def detection_latency(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievemask.schemas import DETECTIONS, PREDICTED, RESTORES, RUNS
 
@@ -15,8 +16,8 @@ STORED_DETECTION = (
 )
 
 
-def _run_id():
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/[^/]*\z", 1)
+def _schema(fields: str | StructType) -> StructType:
+    return fields if isinstance(fields, StructType) else StructType.fromDDL(fields)
 
 
 def flat_records(stored: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def flat_records(stored: DataFrame) -> DataFrame:
     )
 
 
-def stored_records(records: DataFrame) -> DataFrame:
+def stored_records(records: DataFrame, *kept: str) -> DataFrame:
     """The inverse of `flat_records`."""
     predicted = F.transform(
         "predicted",
@@ -45,21 +46,41 @@ def stored_records(records: DataFrame) -> DataFrame:
         ),
     )
     return records.select(
-        "sample_id", F.struct("status", predicted.alias("predicted"), "elapsed_ns", "wall_ns", "message").alias("result")
+        *kept, "sample_id", F.struct("status", predicted.alias("predicted"), "elapsed_ns", "wall_ns", "message").alias("result")
     )
 
 
+def store_runs(runs: DataFrame, results: str) -> None:
+    runs.write.mode("append").json(f"{results}/meta")
+
+
+def store_records(records: DataFrame, results: str) -> None:
+    """Detection records of many runs at once: a partition for each `run_id`."""
+    shaped = stored_records(records.select("sample_id", "status", "predicted", "elapsed_ns", "wall_ns", "message", "run_id"), "run_id")
+    shaped.write.mode("append").partitionBy("run_id").json(f"{results}/detections")
+
+
+def store_restores(outcomes: DataFrame, results: str) -> None:
+    outcomes.write.mode("append").partitionBy("run_id").json(f"{results}/restores")
+
+
+def _of_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records below `path`, with the run they belong to. A filter on `run_id` reads only that run's files."""
+    whole = StructType([f for f in _schema(schema).fields if f.name != "run_id"]).add("run_id", "string")
+    return spark.read.schema(whole).json(path)
+
+
 def load_runs(spark: SparkSession, results: str) -> DataFrame:
     """Every run, oldest first."""
-    return spark.read.schema(RUNS).json(f"{results}/*/meta").orderBy("started_at", "run_id")
+    return spark.read.schema(RUNS).json(f"{results}/meta").orderBy("started_at", "run_id")
 
 
 def load_detections(spark: SparkSession, results: str) -> DataFrame:
-    return flat_records(spark.read.schema(STORED_DETECTION).json(f"{results}/*/detections").withColumn("run_id", _run_id()))
+    return flat_records(_of_runs(spark, f"{results}/detections", STORED_DETECTION))
 
 
 def load_restores(spark: SparkSession, results: str) -> DataFrame:
-    return spark.read.schema(RESTORES).json(f"{results}/*/restores").withColumn("run_id", _run_id())
+    return _of_runs(spark, f"{results}/restores", RESTORES)
 
 
 def dataset_conflicts(runs: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -88,5 +109,5 @@ def append_records(records: DataFrame, path: str, checkpoint: str | None = None)
 
 __all__ = [
     "DETECTIONS", "append_records", "dataset_conflicts", "flat_records", "load_detections", "load_restores",
-    "load_runs", "stored_records",
+    "load_runs", "store_records", "store_restores", "store_runs", "stored_records",
 ]

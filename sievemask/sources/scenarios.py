@@ -16,8 +16,8 @@ def load_scenarios(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     )
     stem = F.regexp_extract("_path", r"([^/]+)\.json\z", 1)
     folder = F.regexp_extract("_path", r"([^/]+)/[^/]+\z", 1)
-    location = F.when(stem != F.col("id"), F.concat(F.lit("id "), "id", F.lit(" does not match file name "), stem)).when(
-        folder != F.col("category"), F.concat(F.lit("category "), "category", F.lit(" does not match directory "), folder)
+    location = F.when(stem != F.col("id"), F.concat(F.lit("file "), stem, F.lit(" holds id "), "id")).when(
+        folder != F.col("category"), F.concat(F.lit("folder "), folder, F.lit(" holds category "), "category")
     )
     judged = with_problem(raw).withColumn("problem", F.coalesce(location, F.col("problem")))
     problems = judged.where("problem is not null").select("id", "problem").unionByName(duplicate_ids(raw))

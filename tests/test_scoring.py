@@ -72,4 +72,4 @@ def test_a_small_run(spark):
     summary = S.run_summary(samples, records).first()
     assert (summary["tool_p50_ns"], summary["samples"], summary["hard_negative_rate"]) == (200, "4", 1.0)
     bad = S.record_problems(samples, records.union(records.where("sample_id = 'a'")).union(records.where("sample_id = 'b'").withColumn("sample_id", F.lit("zzz"))))
-    assert {(r["sample_id"], r["problem"]) for r in bad.collect()} == {("a", "appears more than once"), ("zzz", "not in the dataset")}
+    assert {(r["sample_id"], r["problem"]) for r in bad.collect()} == {("a", "repeated record"), ("zzz", "unknown sample")}
