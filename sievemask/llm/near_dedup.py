@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sievemask.llm.common import fresh, mixed, runs, table, text_slices, words, written
 from sievemask.llm.components import components
 
-BANDS, ROWS, TILE, HUB_ROUNDS = 32, 5, 256, 2
+BANDS, ROWS, TILE, HUB_ROUNDS = 32, 5, 256, 1
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 0.15  # an estimate this far below the threshold is still verified: more than four standard errors
@@ -273,7 +273,7 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         placed = rows.drop("component").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         placed = written(placed, "band-components")
         ends = placed.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l <> _h")
-        return written(placed.join(written(ends.select("key"), "open-groups"), "key", "left_semi"), "open-members")
+        return written(placed.join(ends.select("key"), "key", "left_semi"), "open-members")
 
     tried = written(_likely(with_registers(once), threshold), "star-pairs")
     links = written(verified(tried, texts, width, threshold), "star-links")
