@@ -226,13 +226,13 @@ Q_RESTORED = f"WITH {Q_MESSAGES} SELECT conv_id, turn, md5(text) AS text FROM te
 
 
 def streamed_unmask(spark, sf):
-    """The hold-back rule as streaming state, over several micro-batches, then restored from the vault."""
+    """The hold-back rule over many micro-batches, then restored from the vault."""
     chunks, vault = _chunks(spark, sf)
     source, out, mark = (scratch(spark, f"chunks-{x}") for x in ("in", "out", "mark"))
     slim = chunks.select("session", "stream", "seq", "chunk", "is_final")
-    for part in (0, 1):
-        # Two files, two micro-batches: the first half of every stream, then the rest.
-        slim.where((F.col("seq") >= 20) == F.lit(bool(part))).coalesce(1).write.mode("append").parquet(source)
+    for low, high in ((0, 7), (7, 20), (20, None)):
+        # Three files, three micro-batches: parts of every stream.
+        slim.where((F.col("seq") >= low) & (F.lit(True) if high is None else F.col("seq") < high)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(source)
     SH.unmask_stream(stream, vault, out, mark)
     done = spark.read.parquet(out)

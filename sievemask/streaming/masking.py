@@ -2,41 +2,35 @@
 
 Per micro-batch: spans are detected, values the vault does not know are numbered after the ones in use, the vault
 grows by one folder, and the batch is masked by joins. No task holds a session, so a session's size is no limit;
-folders are named by batch and rewritten on retry, so every batch takes effect once."""
+only the sessions of the batch are read from the vault."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemask.operators.vault import extended_vault, mask_with, session_spans
-from sievemask.session import frozen
+from sievemask.streaming import tables
 
-VAULT = "session string, label string, value string, seq long, start int, n long, placeholder string, batch long"
+VAULT = "session string, label string, value string, seq long, start int, n long, placeholder string"
 
 
-def read_vault(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    known = spark.read.schema(VAULT).parquet(path)
-    return known if before is None else known.where(known["batch"] < before)
+def read_vault(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{VAULT}, batch long, bucket int").parquet(path)
 
 
 def mask_stream(messages: DataFrame, vault_path: str, out_path: str, checkpoint: str):
     """Drains the available `(session, seq, text, ...)` messages; output and vault are parquet folders per batch."""
-    spark = messages.sparkSession
-    # An empty first folder gives the vault its schema.
-    spark.createDataFrame([], VAULT).drop("batch").write.mode("overwrite").parquet(f"{vault_path}/batch=-1")
+    tables.start(messages.sparkSession, vault_path, VAULT)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = frozen(batch)
-        spans = session_spans(kept)
-        # Only sessions of this batch take part in joins and numbering; the rest of the vault stays at the scan.
+        spark = batch.sparkSession
+        spans = session_spans(batch)
         here = spans.select("session").distinct()
-        known = read_vault(batch.sparkSession, vault_path, batch_id).join(here, "session", "left_semi")
+        known = tables.read_before(spark, vault_path, VAULT, batch_id, here)
         fresh = extended_vault(spans, known)
-        fresh.select("session", "label", "value", "seq", "start", "n", "placeholder").write.mode("overwrite").parquet(
-            f"{vault_path}/batch={batch_id}"
-        )
-        full = read_vault(batch.sparkSession, vault_path, batch_id + 1)
-        mask_with(kept, spans, full).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        tables.write_batch(fresh.select("session", "label", "value", "seq", "start", "n", "placeholder"), vault_path, batch_id)
+        full = tables.read_before(spark, vault_path, VAULT, batch_id + 1, here)
+        mask_with(batch, spans, full).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     query = (
         messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,0 +1,39 @@
+"""Tables that carry what a stream has learned from one micro-batch to the next.
+
+Rows live in `<path>/batch=<id>/bucket=<hash of the session>`: a micro-batch reads only the buckets its sessions fall into and
+the batches before it, and writes one folder, which a retry writes again. `compact` folds old batches into one."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKETS = 64
+
+
+def bucket_of(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(BUCKETS)).cast("int")
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.withColumn("bucket", bucket_of(F.col("session"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
+
+def read_before(spark: SparkSession, path: str, schema: str, batch_id: int, sessions: DataFrame) -> DataFrame:
+    """Rows of `sessions` that batches before `batch_id` left. At most BUCKETS numbers are collected, to prune the scan."""
+    buckets = [r[0] for r in sessions.select(bucket_of(F.col("session")).alias("b")).distinct().collect()]
+    rows = spark.read.schema(f"{schema}, batch long, bucket int").parquet(path)
+    return rows.where(F.col("bucket").isin(*buckets) & (F.col("batch") < batch_id)).join(sessions.select("session").distinct(), "session", "left_semi").drop("bucket")
+
+
+def start(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty first folder, so that a first micro-batch finds a table."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1/bucket=0")
+
+
+def compact(spark: SparkSession, path: str, schema: str, target: str, expired: Column | None = None) -> None:
+    """All rows of a table at rest as one batch of a new table at `target`, each bucket's rows together. Rows for which `expired` holds are
+    left out: a placeholder of such a session is later kept as it stands, and its values are numbered anew."""
+    rows = spark.read.schema(f"{schema}, batch long, bucket int").parquet(path)
+    kept = rows if expired is None else rows.where(~F.coalesce(expired, F.lit(False)))
+    kept.drop("batch").repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/batch=-1")
