@@ -16,7 +16,9 @@ Nothing grows on the driver or in one task but what is bounded by its alphabet:
   sums are collected, mixed, and sent to all shards, which give each key its log probability.
 * `answered`: a block's keys meet their shards (a join of packed rows), and the answers meet the block's documents.
 
-A block holds documents of neighbouring ids and similar length, at most 64 MB of text, or one longer document.
+A block holds documents of neighbouring ids and similar length, at most 256 MB of text, or one longer document; it is handled in the
+pieces that its Arrow batches make. Packed rows and documents are compressed before they are written or shuffled. Log probabilities of
+keys are kept to the 1/FINE.
 
 Defined cases: a null or empty text is the end alone; a row without id is scored and learned from (its fold is not 0); a word that training has not
 seen has count 0; without training rows all counts are 0 and bits cost one half each; rows that repeat an id are scored and
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from sievemask.llm.common import LOWER, SPACE, fold_of, runs, table, text_slices, words, written
 
 DEPTH, END, FAN = 5, 0xFF, 64  # no byte of UTF-8 is 0xFF
-BLOCK_DOCS, BLOCK_BYTES, SLICE = 4096, 16384, 1 << 20
+BLOCK_DOCS, BLOCK_BYTES, SLICE, FINE = 16384, 16384, 1 << 20, 65536
 END_WORD = np.uint64(0x9D8F7C6B5A493827)
 PARTS = "kind string, shard int, block long, keys binary, counts binary"
 _B = np.uint64(8)
@@ -163,23 +165,43 @@ def whole_model(keys: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     return mixed_probability(Trees(keys, counts, 0, depth), [], depth, 0)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as byte planes of their differences, most of which are zeros: written tables and shuffles compress them well."""
-    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def planes(values: np.ndarray) -> bytes:
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers as compressed byte planes: high bytes are mostly zeros, low counts repeat."""
+    return squeezed(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    flat = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(flat, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, block) rows as one compressed row for each block of a batch."""
+    for batch in batches:
+        block_of = batch.column(2).to_numpy()
+        blocks, blobs = np.unique(block_of), []
+        for block in blocks.tolist():
+            rows = batch.filter(pa.array(block_of == block)).select([0, 1])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+
 def _gather(depth: int, shards: int):
     def of_block(rows: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         learn = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -263,7 +285,7 @@ def _values(depth: int, one: tuple, root: tuple):
                 keys = unpacked(k)
                 trees = Trees(keys, from_planes(c), 2, depth)
                 upper = [(_nodes(keys, d).astype(np.int64), *sums) for d, sums in ((0, root), (1, one))]
-                out.append(mixed_probability(trees, upper, depth, 2).astype(np.float32).tobytes())
+                out.append(planes(np.rint(-FINE * mixed_probability(trees, upper, depth, 2))))
             yield pd.DataFrame({"kind": f["kind"], "shard": f["shard"], "known": f["keys"], "found": out})
 
     return run
@@ -273,11 +295,11 @@ def _answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for r in f.itertuples():
             known = unpacked(r.known)
-            found = from_planes(r.found) if r.kind == "w" else np.frombuffer(r.found, np.float32)
+            found = from_planes(r.found)
             out = []
             for asked in r.asked:
                 values = found[np.searchsorted(known, unpacked(asked["keys"]))]
-                out.append((asked["block"], r.kind, asked["keys"], planes(values) if r.kind == "w" else values.tobytes()))
+                out.append((asked["block"], r.kind, asked["keys"], planes(values)))
             yield pd.DataFrame(out, columns=["block", "kind", "keys", "found"])
 
 
@@ -289,7 +311,7 @@ def _score(depth: int, total: float, distinct: float):
         if not rows:
             return np.zeros(0, np.uint64), np.zeros(0)
         keys = np.concatenate([unpacked(k) for k, _ in rows])
-        found = np.concatenate([from_planes(v) if kind == "w" else np.frombuffer(v, np.float32) for _, v in rows])
+        found = np.concatenate([from_planes(v) for _, v in rows])
         order = np.argsort(keys)
         return keys[order], found[order]
 
@@ -304,7 +326,7 @@ def _score(depth: int, total: float, distinct: float):
         floor = total + 0.1 * (distinct + 1)
         end_count = float(get(by_word, np.array([END_WORD]))[0]) if docs.num_rows else 0.0
         parts = []
-        for batch in docs.to_batches():
+        for batch in (b for blob in docs["blob"] for b in pa.ipc.open_stream(blob.as_buffer())):
             for at, data, offsets in text_slices(batch.column(1), SLICE):
                 n = len(offsets) - 1
                 hashes, starts, ends, first = words(data, offsets)
@@ -313,7 +335,7 @@ def _score(depth: int, total: float, distinct: float):
                 base = np.bincount(owner, np.log10((counts + 0.1) / floor), n) + np.log10((end_count + 0.1) / floor)
                 known = np.bincount(owner, counts > 0, n) + (end_count > 0)
                 keys, begin = context_keys(data, offsets, starts, ends, first, depth)
-                score = np.bincount(np.repeat(np.arange(n), np.diff(begin)), get(by_key, keys), n)
+                score = np.bincount(np.repeat(np.arange(n), np.diff(begin)), get(by_key, keys) / -FINE, n)
                 parts.append([batch.column(0)[at : at + n], np.diff(first) + 1, known.astype(np.int64), base, score])
         chunks = [pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in p], schema=schema) for p in parts]
         return pa.concat_tables(chunks) if chunks else schema.empty_table()
@@ -351,9 +373,11 @@ def scored(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text
 
     model = written(counts.mapInPandas(_values(depth, *upper), "kind string, shard int, known binary, found binary"), "byte-model")
     buckets = max(1, parts.select("block").distinct().count() // 16)
-    asked = parts.groupBy("kind", "shard", F.pmod("block", F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("block", "keys")).alias("asked"))
+    by_shard = parts.repartition("kind", "shard")  # serves the grouping and the join
+    asked = by_shard.groupBy("kind", "shard", F.pmod("block", F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("block", "keys")).alias("asked"))
     answers = asked.join(model, ["kind", "shard"]).select("kind", "known", "found", "asked").mapInPandas(_answer, "block long, kind string, keys binary, found binary")
-    met = rows.select("id", "text", "block").groupBy("block").cogroup(answers.groupBy("block"))
+    bundles = rows.select("id", "text", "block").mapInArrow(_bundle, "block long, blob binary")
+    met = bundles.groupBy("block").cogroup(answers.groupBy("block"))
     found = met.applyInArrow(_score(depth, total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 

@@ -490,7 +490,7 @@ def test_spark_scores_equal_the_model_in_one_piece(spark):
     learn = np.repeat([not rows[i].held_out for i in ids], np.diff(begin)).astype(np.int64)
     known, counts = ctw.folded(keys, learn)
     score = np.add.reduceat(ctw.whole_model(known, counts, ctw.DEPTH)[np.searchsorted(known, keys)], begin[:-1])
-    assert np.allclose([rows[i].score for i in ids], score, rtol=1e-6)
+    assert np.allclose([rows[i].score for i in ids], score, rtol=2e-5)
     held = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in held) > 1.6 * sum(r.base_score for r in held)
 
