@@ -347,8 +347,12 @@ def fitted(htmls: list[str], seed: int = 5) -> Labeller | None:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars. Nothing is shuffled."""
     html = F.col(html_col)
-    some = pages.where(html.isNotNull() & (F.octet_length(html) <= SAMPLE_BYTES)).select(F.xxhash64(id_col).alias("h"), html.alias("html"))
-    sample = [r["html"] for r in some.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
+    usable = html.isNotNull() & (F.octet_length(html) <= SAMPLE_BYTES) & F.col(id_col).isNotNull()
+    some = pages.where(usable).select(F.xxhash64(id_col).alias("h"), html.alias("html"))
+    # The hashes are ranked first: only the pages that are taken leave their tasks.
+    last = some.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    chosen = some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")) if last is not None else some.limit(0)
+    sample = [r["html"] for r in chosen.orderBy("h").collect()]
     model = pages.sparkSession.sparkContext.broadcast(fitted(sample))  # some 34,000 numbers
 
     @F.pandas_udf("string")
