@@ -74,6 +74,20 @@ def nearest_rank_percentiles(df: DataFrame, column: str, percents: tuple[int, ..
     return shaped.select("count", *[f"p{p}" for p in percents], "max", "mean")
 
 
+def nearest_rank_by(df: DataFrame, keys: list[str], column: str, percents: tuple[int, ...]) -> DataFrame:
+    """`keys` and a column `p<n>` for each percentile of `column`; a key of any size is spread over many tasks."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = frozen(counts)
+    totals = counts.groupBy(*keys).agg(F.sum("c").alias("_count"))
+    ranked = running_total(counts, keys, ["v"], "c", "upto").join(totals, keys)
+
+    def at_rank(p: int) -> Column:
+        rank = F.greatest(F.lit(1), F.floor((F.col("_count") * p + 99) / 100))
+        return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v"))).alias(f"p{p}")
+
+    return ranked.groupBy(*keys).agg(*[at_rank(p) for p in percents])
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`: an aggregation with map-side partials, not a sort of the key's history."""
     rest = [c for c in df.columns if c not in keys]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemask.functions import metrics
 from sievemask.functions.spans import clustered, empty, overlap
-from sievemask.operators.ranking import nearest_rank_percentiles
+from sievemask.operators.ranking import nearest_rank_by, nearest_rank_percentiles
 from sievemask.schemas import PREDICTED, SPAN
 
 MATCHED = "struct<entity:string,gold:int,predicted:int,strict:int,relaxed:int>"
@@ -103,8 +103,9 @@ def record_problems(samples: DataFrame, records: DataFrame) -> DataFrame:
     return unknown.unionByName(repeated)
 
 
-def joined(samples: DataFrame, records: DataFrame) -> DataFrame:
-    """One slim row per evaluated sample. A failed detection predicts nothing, so all its gold spans are missed."""
+def joined(samples: DataFrame, records: DataFrame, *keys: str) -> DataFrame:
+    """One slim row per evaluated sample (and per value of `keys`, columns of the records, such as a run). A failed detection
+    predicts nothing, so all its gold spans are missed."""
     gold = samples.select(
         F.col("id").alias("sample_id"), "lang", "difficulty", "source",
         F.when(F.col("labels.kind") == "positive", F.col("labels.spans")).otherwise(empty(SPAN)).alias("gold"),
@@ -112,7 +113,7 @@ def joined(samples: DataFrame, records: DataFrame) -> DataFrame:
     )
     failed = F.col("status") != "detected"
     found = records.select(
-        "sample_id", "status",
+        *keys, "sample_id", "status",
         F.when(failed, empty(PREDICTED)).otherwise(F.col("predicted")).alias("predicted"),
     )
     return gold.join(found, "sample_id").withColumn(
@@ -296,3 +297,35 @@ def run_summary(samples: DataFrame, records: DataFrame) -> DataFrame:
         F.concat_ws(" of ", F.col("evaluated").cast("string"), (F.col("evaluated") + F.col("missing")).cast("string")),
     ).otherwise(F.col("evaluated").cast("string"))
     return row.withColumn("samples", samples_text)
+
+
+def run_summaries(samples: DataFrame, records: DataFrame, run: str = "run_id") -> DataFrame:
+    """The summary of every run in one job: one row per run of `records`, scored against the same samples.
+
+    A run's rows are folded before they are shuffled; percentiles come from counted values."""
+    scored = joined(samples, records, run)
+    spans = (
+        scored.select(run, F.explode(match_spans(F.col("gold"), F.col("mapped"))).alias("m")).groupBy(run).agg(*_sums("m."))
+    )
+    flagged = F.exists("mapped", lambda m: m["entity"] == F.col("decoy"))
+    texts = scored.groupBy(run).agg(
+        F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("status") != "detected").alias("failed"),
+        F.count("decoy").alias("_negatives"), F.count_if(F.col("decoy").isNotNull() & flagged).alias("_flagged"),
+    )
+    ok = records.where("status = 'detected'")
+    tool = nearest_rank_by(ok, [run], "elapsed_ns", (50, 95)).withColumnsRenamed({"p50": "tool_p50_ns", "p95": "tool_p95_ns"})
+    wall = nearest_rank_by(ok, [run], "wall_ns", (50,)).withColumnsRenamed({"p50": "wall_p50_ns"})
+    every = texts.join(spans, run, "left").join(tool, run, "left").join(wall, run, "left")
+    whole = samples.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    def of(mode: str) -> tuple[Column, Column, Column]:
+        tp = F.coalesce(F.col(mode), F.lit(0))
+        return tp, F.coalesce(F.col("predicted"), F.lit(0)) - tp, F.coalesce(F.col("gold"), F.lit(0)) - tp
+
+    strict, relaxed = of("strict"), of("relaxed")
+    return every.select(
+        run, "evaluated", (whole - F.col("evaluated")).alias("missing"), "failed",
+        metrics.f1(*strict).alias("strict_f1"), metrics.f1(*relaxed).alias("relaxed_f1"),
+        metrics.precision(relaxed[0], relaxed[1]).alias("relaxed_p"), metrics.recall(relaxed[0], relaxed[2]).alias("relaxed_r"),
+        metrics.ratio(F.col("_flagged"), F.col("_negatives")).alias("hard_negative_rate"), "tool_p50_ns", "tool_p95_ns", "wall_p50_ns",
+    )

@@ -208,6 +208,27 @@ SELECT evaluated, missing, failed, (SELECT p50 FROM lat WHERE clock = 'tool') AS
   (SELECT (sum(flagged_as_decoy_type) / sum(samples))::DOUBLE FROM neg) AS hard_negative_rate FROM c"""
 
 
+def summaries_of_runs(spark, sf):
+    """Runs of all customers in one job: an order's record belongs to the run of its customer."""
+    samples, records = samples_and_records(spark, sf)
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("run_id"))
+    t = S.run_summaries(samples, records.join(owner, "sample_id"))
+    return t.select("run_id", *[big(c).alias(c) for c in ("evaluated", "missing", "failed", "tool_p50_ns", "tool_p95_ns", "wall_p50_ns")], "strict_f1", "relaxed_f1", "relaxed_p", "relaxed_r", "hard_negative_rate")
+
+
+Q_SUMMARIES = f"""WITH {Q_BASE}, per AS (SELECT o_orderkey, bool_or(predicted AND mapped = decoy) AS as_decoy FROM l GROUP BY 1),
+t AS (SELECT o_custkey AS k, round(o_totalprice * 100)::BIGINT AS tool, round(o_totalprice * 100)::BIGINT + o_custkey AS wall FROM o WHERE recorded AND NOT failed),
+rk AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tool) AS i, row_number() OVER (PARTITION BY k ORDER BY wall) AS j, count(*) OVER (PARTITION BY k) AS n FROM t),
+lat AS (SELECT k, max(tool) FILTER (i = greatest(1, (50 * n + 99) // 100)) AS a, max(tool) FILTER (i = greatest(1, (95 * n + 99) // 100)) AS b, max(wall) FILTER (j = greatest(1, (50 * n + 99) // 100)) AS c FROM rk GROUP BY 1),
+m AS (SELECT o_custkey AS k, mode, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM counted JOIN o USING (o_orderkey) GROUP BY 1, 2),
+e AS (SELECT o_custkey AS k, count(*) AS evaluated, count(*) FILTER (failed) AS failed, count(*) FILTER (negative) AS negatives, count(*) FILTER (negative AND as_decoy) AS flagged
+  FROM o LEFT JOIN per USING (o_orderkey) WHERE recorded GROUP BY 1)
+SELECT 'r' || e.k AS run_id, evaluated, (SELECT count(*) FROM orders) - evaluated AS missing, e.failed AS failed, lat.a AS tool_p50_ns, lat.b AS tool_p95_ns, lat.c AS wall_p50_ns,
+  (2 * s.tp / nullif(2 * s.tp + s.fp + s.fn, 0))::DOUBLE AS strict_f1, (2 * r.tp / nullif(2 * r.tp + r.fp + r.fn, 0))::DOUBLE AS relaxed_f1,
+  (r.tp / nullif(r.tp + r.fp, 0))::DOUBLE AS relaxed_p, (r.tp / nullif(r.tp + r.fn, 0))::DOUBLE AS relaxed_r, (flagged / nullif(negatives, 0))::DOUBLE AS hard_negative_rate
+FROM e LEFT JOIN m s ON s.k = e.k AND s.mode = 'strict' LEFT JOIN m r ON r.k = e.k AND r.mode = 'relaxed' LEFT JOIN lat ON lat.k = e.k"""
+
+
 def overlap_lengths(spark, sf):
     line = table(spark, sf, "lineitem")
     a = F.struct((F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + 10).alias("end"))
@@ -256,6 +277,7 @@ QUERIES = {
     "records_that_do_not_fit": (records_that_do_not_fit, Q_MISFITS),
     "detection_latency": (detection_latency, Q_LATENCY),
     "summary_of_run": (summary_of_run, Q_SUMMARY),
+    "summaries_of_runs": (summaries_of_runs, Q_SUMMARIES),
     "overlap_lengths": (overlap_lengths, Q_OVERLAP),
     "crowded_matches": (crowded_matches, Q_CROWDED),
 }

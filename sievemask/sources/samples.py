@@ -130,7 +130,8 @@ def write_dataset(samples: DataFrame, directory: str, version: str, seed: int, p
         if found != fingerprint(made).first()["fingerprint"]:
             raise VersionConflict(f"{directory} already holds version {version} with other content")
         return False
-    made.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{directory}/samples")
+    # Samples without a manifest are not ours to replace.
+    made.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{directory}/samples")
     written = spark.read.schema(SAMPLES).json(f"{directory}/samples")
     manifest(written, version, seed, per_template, generator_version).coalesce(1).write.mode("errorifexists").json(
         f"{directory}/manifest"
