@@ -257,6 +257,18 @@ def streamed_masking(spark, sf):
     return spark.read.parquet(out).select("conv_id", "turn", digest_of("masked").alias("masked"))
 
 
+def tolerant_requests(spark, sf):
+    """Requests with null and broken bodies among them: each fails alone, and nothing of it goes on."""
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 5
+    body = F.when(k == 0, F.expr("substring(body, 1, length(body) - 3)")).when(k == 1, None).when(k == 2, F.concat(F.lit("["), "body", F.lit("]"))).otherwise(F.col("body"))
+    masked, _ = C.mask_requests(_bodies(spark, sf).withColumn("body", body))
+    raw = F.coalesce(F.col("masked_body").rlike("[A-Z]{3}PS[0-9]{4}[A-Z]"), F.lit(False))
+    return masked.select("conv_id", "turn", "status", F.col("masked_body").isNull().alias("withheld"), raw.alias("leaks"))
+
+
+Q_TOLERANT = """SELECT conv_id, turn, CASE WHEN (conv_id * 7 + turn) % 5 < 3 THEN 'failed' ELSE 'done' END AS status, (conv_id * 7 + turn) % 5 < 3 AS withheld, false AS leaks FROM conversations"""
+
+
 def _events(spark, sf, api):
     """Masked messages as streamed reply events: text deltas and tool-argument deltas of the same text."""
     chunks, vault = _chunks(spark, sf)
@@ -320,6 +332,7 @@ QUERIES = {
     "restored_streams": (restored_streams, Q_RESTORED),
     "streamed_unmask": (streamed_unmask, Q_STREAMED_UNMASK),
     "streamed_masking": (streamed_masking, Q_MASKED),
+    "tolerant_requests": (tolerant_requests, Q_TOLERANT),
     "openai_deltas": (openai_deltas, _q_deltas("content", "args:1")),
     "anthropic_deltas": (anthropic_deltas, _q_deltas("block:0:text", "block:1:json")),
 }
