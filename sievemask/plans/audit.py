@@ -239,6 +239,30 @@ SELECT CASE WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS
   sum(e)::BIGINT AS json_valid, sum(g)::BIGINT AS fails_closed FROM n GROUP BY 1"""
 
 
+def captured_failure_lists(spark, sf):
+    """Every verdict's failures with their details, in order."""
+    sc, log = captured(spark, sf)
+    return U.failure_lists(U.audit(sc, log)).select("conv_id", big("place").alias("place"), "check", "detail")
+
+
+_Q_WANT = """CASE WHEN turn = 0 THEN CASE kind WHEN 1 THEN 'Got ' || first || ' and ' || second || ' ok' WHEN 2 THEN '{"id": "' || first || '"}' ELSE 'Got ' || first END
+  ELSE 'Again ' || first || ' / ' || second END"""
+Q_LISTS = Q_CAPTURED.replace("SELECT *, 1, CASE", "SELECT *, 1 AS turn, CASE") + f""",
+w AS (SELECT *, {_Q_WANT} AS want FROM t),
+d AS (
+  SELECT conv_id, 1 AS c, -1 AS turn, CASE fault WHEN 1 THEN 'value 0 leaked: "' || first || '"' ELSE 'value 1 leaked: "' || second || '"' END AS detail FROM f WHERE fault IN (1, 2)
+  UNION ALL SELECT conv_id, 4, -1, 'slot 0 became "[PAN_1]", "[PAN_2]"' FROM f WHERE fault = 3
+  UNION ALL SELECT conv_id, 2, 0, 'script broke: turn 0: lost' FROM f WHERE fault = 2
+  UNION ALL SELECT conv_id, 2, turn, 'turn ' || turn || ': "' || want || CASE fault WHEN 4 THEN '!' ELSE ' [pan' END || '" instead of "' || want || '"' FROM w WHERE fault IN (4, 5) AND expects = 'text'
+  UNION ALL SELECT conv_id, 2, turn, 'turn ' || turn || ': calls [{{"id":"c9","name":"verify","arguments":"' || replace(want, '"', '\\"') || '}}"}}] instead of verify ' || want FROM w WHERE fault = 6 AND expects = 'call'
+  UNION ALL SELECT conv_id, 2, 0, 'turn 0: error 502 instead of a reply: upstream error' FROM w WHERE fault = 9 AND turn = 0 AND expects <> 'error'
+  UNION ALL SELECT conv_id, 3, turn, 'turn ' || turn || ': piece "[pan" of "[PAN_1]"' FROM w WHERE fault = 5 AND expects = 'text'
+  UNION ALL SELECT conv_id, 5, turn, 'turn ' || turn || ': does not parse: "' || replace(want, '"', '\\"') || '}}"' FROM w WHERE fault = 6 AND expects = 'call'
+  UNION ALL SELECT conv_id, 6, turn, 'turn ' || turn || ': error 503 became ' || CASE fault WHEN 7 THEN 'status 500' ELSE 'the reply "fine"' END FROM w WHERE expects = 'error' AND fault IN (7, 8))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY c, turn, detail) AS place,
+  (['no_leak_upstream', 'restored_exact', 'no_placeholder_fragment', 'placeholder_stable_across_turns', 'json_valid', 'fails_closed'])[c::INT] AS "check", detail FROM d"""
+
+
 def missing_turns(spark, sf):
     """Turn counts that do not fit, with every third scenario's last turn never reported."""
     sc, log = captured(spark, sf)
@@ -421,6 +445,7 @@ QUERIES = {
     "replayed_observations": (replayed_observations, Q_OBSERVED),
     "replay_verdicts": (replay_verdicts, Q_VERDICTS),
     "captured_failures": (captured_failures, Q_CAPTURED + " SELECT conv_id, \"check\", turn::BIGINT AS turn FROM r"),
+    "captured_failure_lists": (captured_failure_lists, Q_LISTS),
     "captured_verdicts": (captured_verdicts, Q_CAPTURED_VERDICTS),
     "missing_turns": (missing_turns, Q_MISSING),
     "applicability": (applicability, Q_APPLICABLE),

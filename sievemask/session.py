@@ -10,7 +10,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-JVM session for tests and benchmarks; on a cluster use the session the cluster gives."""
+    """A single-JVM session for tests and benchmarks, which drops checkpoints that nothing refers to any more; on a cluster use the
+    session the cluster gives."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sievemask")
@@ -19,6 +20,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         # Call-site capture makes every column operation several times slower to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
