@@ -266,7 +266,20 @@ SELECT event_id, event_id % 6 IN (0, 3, 5) AS parses,
   CASE WHEN event_id % 6 = 5 THEN 'a"b' ELSE '' END AS strings FROM events"""
 
 
+def document_payloads(spark, sf):
+    """Whole documents as message contents: found again among a body's strings, and equal when the body is spaced otherwise."""
+    message = F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    body = F.to_json(F.struct(F.array(message).alias("messages")))
+    spaced = F.concat(F.lit(" "), F.replace(F.col("body"), F.lit('{"messages":['), F.lit('{ "messages" : [ ')), F.lit("\n"))
+    return table(spark, sf, "documents").select("doc_id", body.alias("body")).select(
+        "doc_id", digest_of(F.element_at(J.string_values(F.col("body")), -1)).alias("content"), J.same_json(F.col("body"), spaced).alias("same")
+    )
+
+
+Q_PAYLOADS = "SELECT doc_id, md5(text) AS content, true AS same FROM documents"
+
 QUERIES = {
+    "document_payloads": (document_payloads, Q_PAYLOADS),
     "grouping_and_digits": (grouping_and_digits, Q_GROUPING),
     "verhoeff_digits": (verhoeff_digits, Q_VERHOEFF),
     "luhn_digits": (luhn_digits, Q_LUHN),

@@ -110,3 +110,43 @@ def test_json_equality_and_strings(spark):
     body = json.dumps({"role": "user", "content": [{"text": 'a"b: c', "n": 1}, "x"], "k": "yé"})
     assert value(spark, J.string_values(F.lit(body))) == ["user", 'a"b: c', "x", "yé"]
     assert value(spark, J.string_values(F.lit('"just"'))) == ["just"]
+
+
+def test_long_strings_cost_no_stack(spark):
+    from sievemask.functions import jsontext as J
+
+    texts = ["x" * 1_000_000, '"' * 100_000, "\\" * 50_001, "\n" * 1000]
+    import json
+
+    df = spark.createDataFrame([(json.dumps({"k": [t, 1.0]}), json.dumps({"k": [t, 1]}, indent=1), t) for t in texts], "a string, b string, t string")
+    for r in df.select(J.string_values(F.col("a")).alias("v"), J.same_json(F.col("a"), F.col("b")).alias("same"), "t").collect():
+        assert r["v"] == [r["t"]] and r["same"]
+
+
+def test_addresses_match_the_plain_pattern(spark):
+    import random
+    import re
+
+    from sievemask.functions.recognizers import RECOGNIZERS, detect
+    from sievemask.functions.spans import pattern_spans
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    ours = next(r.pattern for r in RECOGNIZERS if r.label == "EMAIL")
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab1.@-_..@cde ") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", pattern_spans(F.col("t"), ours).alias("s")).collect():
+        assert [tuple(x) for x in r["s"]] == [(m.start(), m.end(), m.group()) for m in plain.finditer(r["t"])]
+    long = spark.createDataFrame([("a@" + "x." * 100_000 + "com tail",), ("a@" + "x." * 100_000,)], "t string")
+    assert [[x["end"] for x in r["s"]] for r in long.select(pattern_spans(F.col("t"), ours).alias("s")).collect()] == [[200_005], []]
+    many = spark.createDataFrame([("a@bc.de " * 100_000,)], "t string")
+    assert many.select(F.size(detect(F.col("t"))).alias("n")).first()["n"] == 100_000
+
+
+def test_running_totals_over_strides(spark):
+    from sievemask.functions.spans import running
+
+    for n in (0, 1, 63, 64, 65, 200, 1000):
+        df = spark.createDataFrame([([i % 7 for i in range(n)],)], "v array<int>")
+        got = df.select(running(F.col("v"), lambda x, y: x + y, F.lit(0)).alias("s")).first()["s"]
+        assert got == [sum(i % 7 for i in range(k + 1)) for k in range(n)]
