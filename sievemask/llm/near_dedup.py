@@ -13,7 +13,8 @@ Nothing is done for each pair of a group:
 3. The links found make components. Where a band group still holds several, members outside its largest component are
    compared with one member of that, chosen by hash for each band group; HUB_ROUNDS times.
 4. Where a band group holds several components even then, the classes of different components are compared, in tiles of at most
-   TILE x TILE; a pair leaves the tile once (in the first band it shares), and only if its estimate passes.
+   TILE x TILE, by longer sketches (LONG registers) that are made for them; a pair leaves the tile once (in the first band it
+   shares), and only if its estimate passes.
 5. All verified links make the final components.
 
 So every pair of candidates is either compared, or already connected. Sets are rebuilt from the texts of documents in question; a
@@ -38,11 +39,11 @@ from sievemask.llm.common import fresh, mixed, runs, table, text_slices, words,
 from sievemask.llm.components import components
 
 BANDS, ROWS, TILE, HUB_ROUNDS = 32, 5, 256, 1
-REGISTERS = BANDS * ROWS
+REGISTERS, LONG = BANDS * ROWS, 1024
 BASE, RATE, TOP = 1.001, 20.0, 65534
-SLACK = 0.15  # an estimate this far below the threshold is still verified: more than four standard errors
+SLACK, LONG_SLACK = 0.15, 0.05  # an estimate this far below the threshold is still verified: four standard errors or more
 _PLUS = np.uint64(0x9E3779B97F4A7C15)
-_FLIPS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _PLUS)
+_FLIPS = mixed(np.arange(1, LONG + 1, dtype=np.uint64) * _PLUS)
 _TIMES = mixed(_FLIPS) | np.uint64(1)
 
 
@@ -71,11 +72,11 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else hashes[:0]), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
-def registers(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def registers(sets: np.ndarray, starts: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """SetSketch registers, a row for each of the sets that begin at `starts` (none is empty)."""
-    out = np.empty((len(starts), REGISTERS), np.float64)
+    out = np.empty((len(starts), count), np.float64)
     buffer = np.empty_like(sets)
-    for i in range(REGISTERS):
+    for i in range(count):
         np.bitwise_xor(sets, _FLIPS[i], out=buffer)
         np.multiply(buffer, _TIMES[i], out=buffer)
         out[:, i] = (np.minimum.reduceat(buffer, starts) >> np.uint64(11)).astype(np.float64)
@@ -94,7 +95,7 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
         return -np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE)
 
     more, less = np.clip(p(u - v * j), 1e-12, 1), np.clip(p(v - u * j), 1e-12, 1)
-    likelihood = over * np.log(more) + under * np.log(less) + (REGISTERS - over - under) * np.log(np.clip(1 - more - less, 1e-12, 1))
+    likelihood = over * np.log(more) + under * np.log(less) + (a.shape[1] - over - under) * np.log(np.clip(1 - more - less, 1e-12, 1))
     return np.take_along_axis(j, likelihood.argmax(1)[:, None], 1)[:, 0]
 
 
@@ -129,6 +130,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return _sets(docs, width, "id long, n long, print binary, regs binary", make)
 
 
+def _long_sketches(rows: pa.RecordBatch, sets: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(np.diff(starts))
+    made = registers(sets, starts[:-1][some], LONG) if len(some) else []
+    ids = rows.column(0).cast(pa.int64()).take(pa.array(some, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in made], pa.binary())], ["id", "long"])
+
+
 def _band_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     weights = mixed(np.arange(REGISTERS, dtype=np.uint64) + _PLUS).reshape(BANDS, ROWS) | np.uint64(1)
     for f in frames:
@@ -211,13 +219,14 @@ def _tile_pairs(threshold: float):
         if not len(i):
             return None
         a, b = (np.frombuffer(b"".join(s["regs"]), np.uint16).reshape(len(s), REGISTERS) for s in (left, right))
+        x_long, y_long = (np.frombuffer(b"".join(s["long"]), np.uint16).reshape(len(s), LONG) for s in (left, right))
         out = []
-        for at in range(0, len(i), 4096):
-            p, q = i[at : at + 4096], j[at : at + 4096]
-            good = estimates(a[p], b[q], n[p, 0].astype(float), m[0, q].astype(float)) >= threshold - SLACK
-            p, q = p[good], q[good]
+        for at in range(0, len(i), 1024):
+            p, q = i[at : at + 1024], j[at : at + 1024]
             agree = (a[p] == b[q]).reshape(-1, BANDS, ROWS).all(2)
-            good = agree.argmax(1) == int(f["band"].iloc[0])
+            first = agree.argmax(1) == int(f["band"].iloc[0])
+            p, q = p[first], q[first]
+            good = estimates(x_long[p], y_long[q], n[p, 0].astype(float), m[0, q].astype(float)) >= threshold - LONG_SLACK
             out.append(np.stack([x[p[good], 0], y[0, q[good]]]))
         pair = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": pair.max(0), "b": pair.min(0)})
@@ -294,13 +303,16 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         labels = components(links)
         members = open_members(members, labels)
 
+    asked = written(members.select(F.col("rep").alias("id")).distinct(), "open-classes")
+    whole = _held(texts, asked).join(asked, "id", "left_semi").dropDuplicates(["id"])
+    long_ = written(_sets(whole, width, "id long, long binary", _long_sketches), "long-sketches").withColumnRenamed("id", "rep")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     spread = (
-        members.join(reps.select("rep", "n", "regs"), "rep").withColumn("tiles", tiles).withColumn("own", own)
+        members.join(reps.select("rep", "n", "regs").join(long_, "rep"), "rep").withColumn("tiles", tiles).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-        .select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "rep", "n", "component", "regs")
+        .select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "rep", "n", "component", "regs", "long")
     )
     laid_out = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     rest = new_pairs(laid_out.mapInPandas(_tile_pairs(threshold), "a long, b long"), tried, "crossing-pairs")
