@@ -300,6 +300,21 @@ Q_RULES = f"""WITH {_Q_OT}, r AS (SELECT template_id, CASE k WHEN 2 THEN 'no suc
 SELECT template_id, problem FROM r WHERE problem IS NOT NULL UNION ALL SELECT template_id, 'id used twice' FROM ot GROUP BY 1 HAVING count(*) > 1""".replace("{{", "{").replace("}}", "}")
 
 
+def built_samples(spark, sf):
+    """Samples of every sound order template, three each, with what their only span covers."""
+    templates = _order_templates(spark, sf)
+    sound = templates.join(B.template_problems(templates).select("template_id").distinct(), "template_id", "left_anti")
+    span = F.get("labels.spans", F.lit(0))
+    return B.build(sound, SEED, 3).select(
+        "id", F.col("labels.kind").alias("kind"), big(F.size("labels.spans")).alias("spans"), big(span["start"]).alias("start"),
+        (span["end"] - span["start"] + 5 == F.length("text") - span["start"]).alias("to_the_end"),
+    )
+
+
+Q_BUILT = f"""WITH {_Q_OT} SELECT template_id || '-' || lpad(n::VARCHAR, 4, '0') AS id, 'positive' AS kind, 1::BIGINT AS spans, length('Order {{' || p || '}} for ') AS start, true AS to_the_end
+FROM (SELECT *, unnest(range(3)) AS n FROM ot WHERE k = 0 AND NOT odd AND template_id NOT IN (SELECT template_id FROM ot GROUP BY 1 HAVING count(*) > 1))""".replace("{{", "{").replace("}}", "}")
+
+
 def noisy_texts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", digest_of(B.noisy(F.col("text"), F.concat_ws("/", F.lit("noise"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))).alias("noisy"))
 
@@ -388,6 +403,7 @@ QUERIES = {
     "kyc_texts": (kyc_texts, _q_kyc()),
     "template_cuts": (template_cuts, Q_CUTS),
     "template_rules": (template_rules, Q_RULES),
+    "built_samples": (built_samples, Q_BUILT),
     "noisy_texts": (noisy_texts, Q_NOISY),
     "sample_flaws": (sample_flaws, Q_FLAWS),
     "carried_over": (carried_over, _q_carried()),
