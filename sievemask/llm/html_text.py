@@ -10,7 +10,8 @@ labelled by the meaning of their containers, where HTML defines one. As one site
 other arrangements of containers, which are drawn with a fixed seed; there the label is known.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a page of plain text is one block; unclosed tags
-end with their container, unknown end tags are ignored; markup that is cut off at the end of a page is dropped; without any training
+end with their container, unknown end tags are ignored; markup that is cut off at the end of a page is dropped; a tag ends at the first '>'
+outside a quoted value, and a quote that is nowhere closed quotes nothing; without any training
 page the arrangements have no texts and every block is kept; rows that repeat an id give a row each; an empty table gives no rows; further
 columns are ignored.
 """
@@ -38,9 +39,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+# Attributes as HTML reads them: a quote opens a value only right after '='. One that is never closed is a part of a bare value.
+ATTRIBUTES = r"(?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >]*+))?+)*+"
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|select|title|iframe|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|select|title|iframe|object|math)(?=[\t\n\f\r />]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\t\n\f\r />]*+)({ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)

@@ -512,6 +512,22 @@ def test_blocks_are_cut_at_block_tags():
     assert html_text.blocks("<p title='a>b'>c")[0][1] == "c"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>Before.</p><img alt='Bob's photo'><p>After one.</p><p>After two.</p>", ["Before.", "After one.", "After two."]),
+        ('<p>See <a href="x"">link</a> here.</p><p>Next.</p>', ["See link here.", "Next."]),
+        ('<p title="never closed>One.</p><p>Two.</p>', ["One.", "Two."]),
+        ("<p>One.</p><p title = 'a>b' data-x=it's>Two.</p><p \">Three.</p>", ["One.", "Two.", "Three."]),
+        ("<p =\">One.</p><p a=\"1\"b='2>1'/>Two.</p><p a=>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><script src='a'b'>x > 1</script><p>Two.</p><style media=\"a\"\">p > b {}</style><p>Three.</p>", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><select-box>Two.</select-box><p>Three.</p><p title='cut off", ["One.", "Two.", "Three."]),
+    ],
+)
+def test_stray_quotes_drop_no_text(html, want):
+    assert [b[1] for b in html_text.blocks(html)] == want
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = html_text.Labeller()
