@@ -142,8 +142,8 @@ def features(page: list[tuple[tuple, str, float]]) -> np.ndarray:
         if path:
             x[i, _bucket(f"own {path[-1][0]}", PATH)] = 1
         spoken = text.lower().split()
-        for w in spoken[:64]:  # a mean of words; the text itself is kept whole
-            x[i, PATH + _bucket(w, WORDS)] += 1 / min(64, len(spoken))
+        if spoken:
+            x[i, PATH : PATH + WORDS] = np.bincount([_bucket(w, WORDS) for w in spoken], minlength=WORDS) / len(spoken)
         stops = sum(text.count(c) for c in ".!?…。")
         x[i, PATH + WORDS :] = (min(1.0, np.log1p(len(text)) / 8), linked, min(1.0, stops / 8), stops == 0, len(spoken) < 5, i / max(1, len(page)))
     return x

@@ -528,6 +528,14 @@ def test_stray_quotes_drop_no_text(html, want):
     assert [b[1] for b in html_text.blocks(html)] == want
 
 
+def test_all_words_of_a_block_count():
+    half = html_text.features([((), "one " * 64 + "two " * 64, 0.0)])[0, html_text.PATH : html_text.PATH + html_text.WORDS]
+    want = np.zeros(html_text.WORDS)
+    for w in ("one", "two"):
+        want[html_text._bucket(w, html_text.WORDS)] += 0.5
+    assert np.allclose(half, want)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = html_text.Labeller()
