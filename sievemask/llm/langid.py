@@ -9,8 +9,9 @@ Texts are cut into stretches of STRETCH code points that are parsed side by side
 every code point of every text is parsed.
 
 The automata come from a bounded sample: SAMPLE_DOCS labelled documents a language, those with the least hash of their
-id, and of each an excerpt of EXCERPT code points from its middle. The sample and the tables (SYMBOLS entries for at most
-2 * SAMPLE_DOCS * EXCERPT states a language) do not grow with the input.
+id, and of each an excerpt of EXCERPT code points from its middle. Every letter of the sample counts: the most frequent ones of all
+languages have a column in each table, the steps of the others are sorted lists (`rare`). The sample, the tables (SYMBOLS entries for at
+most 2 * SAMPLE_DOCS * EXCERPT states a language) and the lists (at most 3 * SAMPLE_DOCS * EXCERPT steps a language) do not grow with the input.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without language or id are predicted but not
 learned from; equal costs go to the language that sorts first; without any labelled row everything is `und`; with one language the score of
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from sievemask.llm.common import fold_of, fresh, table
 
 SAMPLE_DOCS, EXCERPT, STRETCH, SYMBOLS = 64, 256, 256, 64
-SPACE, OTHER, PAD = 0, SYMBOLS - 2, SYMBOLS - 1  # other: a letter that no sample has; pad: after a text's end
+# Other: a letter that no sample has; pad: after a text's end. Letters without a column are numbered from SYMBOLS on.
+SPACE, OTHER, PAD = 0, SYMBOLS - 2, SYMBOLS - 1
 UNKNOWN = "und"
 
 
@@ -44,7 +46,7 @@ def _letters() -> np.ndarray:
 
 
 class Automaton:
-    """The suffix automaton of a sequence of symbols, as a table of steps."""
+    """The suffix automaton of a sequence of symbols, as a table of steps and, for symbols from SYMBOLS on, a sorted list of them."""
 
     def __init__(self, symbols: list[int]):
         nexts, links, lengths, last = [{}], [-1], [0], 0
@@ -73,44 +75,64 @@ class Automaton:
             last = here
         self.size = max(2, len(symbols))
         # An entry is (row of the next state) * 2 + 1 if the step ends a phrase. Rows are multiples of SYMBOLS.
-        root = np.zeros(SYMBOLS, np.int64)
+        root = np.zeros(max(SYMBOLS, max(nexts[0], default=0) + 2), np.int64)  # its last entry stands for all greater symbols
         for s, to in nexts[0].items():
             root[s] = to * SYMBOLS
-        steps = np.tile(root * 2 + 1, (len(nexts), 1))
+        steps, rare = np.tile(root[:SYMBOLS] * 2 + 1, (len(nexts), 1)), []
         for state, out in enumerate(nexts):
             for s, to in out.items():
-                steps[state, s] = to * SYMBOLS * 2
+                if s < SYMBOLS:
+                    steps[state, s] = to * SYMBOLS * 2
+                else:
+                    rare.append((s * len(nexts) + state, to * SYMBOLS * 2))
         steps[:, PAD] = np.arange(len(nexts)) * SYMBOLS * 2
         self.steps = steps.astype(np.int32).ravel()
+        self.states, self.root = len(nexts), (root * 2 + 1).astype(np.int32)
+        self.rare = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
+
+    def _rare_steps(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        failed = self.root[np.minimum(symbols, len(self.root) - 1)]
+        keys, to = self.rare
+        if not len(keys):
+            return failed
+        wanted = symbols.astype(np.int64) * self.states + state // SYMBOLS
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, to[at], failed).astype(np.int32)
 
     def phrases(self, stretches: np.ndarray) -> np.ndarray:
         """Phrases of each column of `stretches` (symbols, one row per place). The last phrase of a stretch counts."""
         state = np.zeros(stretches.shape[1], np.int32)
         count = np.zeros(stretches.shape[1], np.int32)
+        wide = stretches.dtype != np.uint8 or bool((stretches >= SYMBOLS).any())
         for row in stretches:
-            step = self.steps[state + row]
+            if wide and len(rare := np.flatnonzero(row >= SYMBOLS)):
+                step = self.steps[state + np.where(row < SYMBOLS, row, OTHER).astype(np.int32)]
+                step[rare] = self._rare_steps(state[rare], row[rare])
+            else:
+                step = self.steps[state + row.astype(np.int32)]
             count += step & 1
             state = step >> 1
         return count + (state > 0)
 
 
 class Model:
-    """Automata by language, over one alphabet: the most frequent letters of the sample."""
+    """Automata by language, over one alphabet: all letters of the sample, the most frequent ones first."""
 
     def __init__(self, texts: dict[str, list[str]]):
         letter = _letters()
         cleaned = {lang: [np.where(letter[c], c, 32) for c in map(folded, sample)] for lang, sample in texts.items()}
         counts = Counter(int(c) for parts in cleaned.values() for p in parts for c in p if c != 32)
-        common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 3]]
-        self.symbol = np.where(letter, OTHER, SPACE).astype(np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
+        found = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        numbers = [*range(1, OTHER), *range(SYMBOLS, SYMBOLS + len(found))][: len(found)]
+        self.symbol = np.where(letter, OTHER, SPACE).astype(np.min_scalar_type(max([PAD, *numbers])))
+        self.symbol[found] = numbers
         self.letter = letter
         self.languages = sorted(lang for lang, parts in cleaned.items() if any(len(p) for p in parts))
         self.automata = []
         for lang in self.languages:
             joined: list[int] = []
             for p in cleaned[lang]:
-                joined += [SPACE, *(s for s in self.symbol[p].tolist() if s != OTHER)]
+                joined += [SPACE, *self.symbol[p].tolist()]
             self.automata.append(Automaton(joined))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -127,7 +149,7 @@ class Model:
             parts.append(s[np.concatenate(([True], (s[1:] != SPACE) | (s[:-1] != SPACE)))] if len(s) else s)
         lengths = np.array([len(p) for p in parts], np.int64)
         pieces = -(-lengths // STRETCH)
-        grid = np.full((int(pieces.sum()), STRETCH), PAD, np.uint8)
+        grid = np.full((int(pieces.sum()), STRETCH), PAD, self.symbol.dtype)
         flat, at = grid.ravel(), 0
         for p, n in zip(parts, pieces.tolist(), strict=True):
             flat[at : at + len(p)] = p

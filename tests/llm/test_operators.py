@@ -211,6 +211,36 @@ def test_phrases_match_a_naive_parse():
         assert langid.Automaton(known).phrases(grid)[0] == count + bool(held)
 
 
+def test_phrases_of_wide_alphabets_match_a_naive_parse():
+    rng = random.Random(3)
+    for _ in range(30):
+        known = [rng.choice((1, 2, 64, 65, 900)) for _ in range(40)]
+        grid = np.array([[rng.choice((1, 2, 3, 64, 65, 66, 900, 5000))] for _ in range(25)], np.uint16)
+        seen = {tuple(known[a:b]) for a in range(40) for b in range(a + 1, 41)} | {()}
+        count, held = 0, ()
+        for s in grid[:, 0].tolist():
+            if (*held, s) in seen:
+                held = (*held, s)
+            else:
+                count += 1
+                held = (s,) if (s,) in seen else ()
+        assert langid.Automaton(known).phrases(grid)[0] == count + bool(held)
+
+
+def test_languages_of_many_letters():
+    rng = random.Random(4)
+    # Three scripts of 150 letters; the first has so many texts that its letters are the most frequent ones. bb and cc share theirs.
+    letters = {"aa": 0x4E00, "bb": 0xAC00, "cc": 0xAC00, "dd": 0xA000}
+    words_of = {k: ["".join(chr(a + rng.randrange(150)) for _ in range(3)) for _ in range(80)] for k, a in letters.items()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(words_of[lang]) for _ in range(n))
+
+    model = langid.Model({k: [text(k, 60) for _ in range(40 if k == "aa" else n)] for n, k in enumerate(letters, 6)})
+    truth = [k for k in letters for _ in range(20)]
+    assert model.predict([text(k, 20) for k in truth])[0] == truth
+
+
 def test_language_of_awkward_rows(spark, docs, none):
     model = langid.fitted(docs, F.lit(True))
     rows = langid.labelled(docs, model).collect()
