@@ -53,7 +53,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     `first`: the first word of each text, and the total."""
     counts = np.diff(first)
     acc = np.full(len(hashes), np.uint64(width))
-    for j in range(width):
+    for j in range(min(width, len(hashes))):  # with fewer words in all, no text has a shingle of `width`
         acc[: len(hashes) - j] = mixed(acc[: len(hashes) - j] * _PLUS + hashes[j:])
     parts, sizes = [], []
     for a, n in zip(first[:-1].tolist(), counts.tolist(), strict=True):

@@ -89,6 +89,25 @@ def test_near_dedup_on_awkward_rows(docs, none):
     assert near_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_a_short_document_alone_in_its_slice(n):
+    text = " ".join(f"w{i}" for i in range(n))
+    [(_, data, offsets)] = text_slices(pa.array([text]), 1 << 19)
+    hashes, _, _, first = words(data, offsets)
+    sets, starts = near_dedup.shingles(hashes, first, 5)
+    assert starts.tolist() == [0, len(shingle_set(text, 5))] and len(sets) == starts[-1]
+    # The same set as beside a longer document.
+    [(_, data, offsets)] = text_slices(pa.array([text, "a b c d e f g"]), 1 << 19)
+    hashes, _, _, first = words(data, offsets)
+    both, begin = near_dedup.shingles(hashes, first, 5)
+    assert sets.tolist() == both[: begin[1]].tolist()
+
+
+def test_one_short_document_is_kept(spark):
+    frame = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    assert [r.kept for r in near_dedup.linked(frame, 5).collect()] == [True]
+
+
 def test_near_dedup_follows_chains_and_hubs(spark):
     rng = random.Random(3)
     texts, n = {}, 0
