@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,10 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 BLOCK, FOLDED = 1 << 22, 1 << 21
 MAP_BITS = 1 << 28
 SEGMENT = 1 << 19  # bits of the map that are packed into one row
-FINGERPRINT = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
 STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
-OTHER_VALUES = mixed(BYTE_VALUES + np.uint64(0x632BE59BD9B4E019))
+OTHER = np.uint64(0x632BE59BD9B4E019)
 FOUND = [("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("count", pa.int64()), ("ref", pa.int64()), ("lang", pa.string())]
 FOUND_SQL = "fp long, low long, high long, count long, ref long, lang string"
 
@@ -55,7 +54,8 @@ def language_hash(lang: str) -> int:
 class Block:
     """The words of adjacent texts, with hashes of all their n-grams. An n-gram lies in one text, between marks that end a piece."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, print_bits: int = 64):
+        self._mask = np.uint64((1 << print_bits) - 1)
         n = len(data)
         data = LOWER[data]
         stop = STOP[data]
@@ -88,11 +88,17 @@ class Block:
         return np.flatnonzero(ok)
 
     def prints(self, at: np.ndarray, n: int) -> np.ndarray:
-        return (mixed(self._first.stretches(at, at + n) + self._langs[at]) & FINGERPRINT).view(np.int64)
+        return (mixed(self._first.stretches(at, at + n) + self._langs[at]) & self._mask).view(np.int64)
 
     def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A second hash, from each word's first and last eight bytes and its length: it does not rest on the polynomials of bytes."""
         if self._other_words is None:
-            self._other_words = Prefixes(mixed(Prefixes(OTHER_VALUES[self.data]).stretches(self.starts, self.ends)))
+            eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
+            length = (self.ends - self.starts).astype(np.uint64)
+            spare = (np.uint64(8) * (np.uint64(8) - np.minimum(length, np.uint64(8)))).astype(np.uint64)
+            first = eight[self.starts].copy().view("<u8").ravel() << spare
+            last = eight[np.maximum(self.ends - 8, self.starts)].copy().view("<u8").ravel() << spare
+            self._other_words = Prefixes(mixed(mixed(first + OTHER) ^ (last + length * OTHER)))
         return mixed(self._other_words.stretches(at, at + n) ^ self._langs[at]).view(np.int64)
 
     def phrase(self, at: int, n: int) -> str:
@@ -115,7 +121,7 @@ def _fold(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [distinct, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(count[order], first), np.minimum.reduceat(ref[order], first)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, list[str]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], print_bits: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray, list[str]]]:
     """Blocks of (lang, text, copies, ref) rows, with copies, refs and languages of their texts."""
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -124,7 +130,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarr
         copies, refs = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
         for at, data, offsets in text_slices(batch.column(1), BLOCK):
             to = at + len(offsets) - 1
-            yield Block(data, offsets, codes[at:to]), copies[at:to], refs[at:to], langs[at:to]
+            yield Block(data, offsets, codes[at:to], print_bits), copies[at:to], refs[at:to], langs[at:to]
 
 
 def _candidates(block: Block, n: int, bits) -> np.ndarray:
@@ -137,7 +143,7 @@ def _candidates(block: Block, n: int, bits) -> np.ndarray:
     return at
 
 
-def _counted(n: int, map_of):
+def _counted(n: int, map_of, print_bits: int):
     """Folded fingerprints of the n-grams of blocks; the words of each language, with n = 1, in rows that name it."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +155,7 @@ def _counted(n: int, map_of):
         def batch_of(rows: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(len(rows[0]), pa.string())], schema=pa.schema(FOUND))
 
-        for block, copies, refs, langs in _blocks(batches):
+        for block, copies, refs, langs in _blocks(batches, print_bits):
             at = _candidates(block, n, bits)
             of = block.text[at]
             check = block.checks(at, n)
@@ -193,12 +199,12 @@ def _bit_map(spark: SparkSession, frequent: DataFrame):
     return spark.sparkContext.broadcast(out)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], print_bits: int) -> Iterator[pa.RecordBatch]:
     """(lang, text, copies, ref, wanted) to (lang, n, fp, phrase): each wanted fingerprint where it stands, if both hashes agree."""
     for batch in batches:
         wanted = batch.column(4).to_pylist()
         row = 0
-        for block, _, _, langs in _blocks(iter([batch.select([0, 1, 2, 3])])):
+        for block, _, _, langs in _blocks(iter([batch.select([0, 1, 2, 3])]), print_bits):
             out: set = set()
             asked = [(w["n"], w["fp"], w["low"]) for some in wanted[row : row + len(langs)] for w in some]
             row += len(langs)
@@ -217,11 +223,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "fp", "phrase"])
 
 
-def _spelled(n: int, map_of):
+def _spelled(n: int, map_of, print_bits: int):
     """(lang, n, fp, phrase, count) of the n-grams of blocks whose fingerprint may be one of those asked for."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, copies, _, langs in _blocks(batches):
+        for block, copies, _, langs in _blocks(batches, print_bits):
             at = block.places(n)
             prints = block.prints(at, n)
             hit = np.flatnonzero(_held(map_of.value, prints))
@@ -234,7 +240,7 @@ def _spelled(n: int, map_of):
     return spelled
 
 
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, print_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(lang, n, phrase, f) of all phrases of 1 to `longest` words with f >= least, and (lang, words): all word occurrences."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(0).alias("id"))
@@ -242,7 +248,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     plain = texts.select("lang", "text", "copies", "ref")
     frequent, spelled, words, map_of = [], [], None, None
     for n in range(1, longest + 1):
-        found = plain.mapInArrow(_counted(n, map_of), FOUND_SQL)
+        found = plain.mapInArrow(_counted(n, map_of, print_bits), FOUND_SQL).repartition("fp", "lang")  # tasks have folded their rows already
         summed = found.groupBy("fp", "lang").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("count").alias("count"), F.min("ref").alias("ref"))
         level = written(summed.where((F.col("count") >= least) | F.col("lang").isNotNull()).withColumn("n", F.lit(n)), "frequent")
         if n == 1:
@@ -250,7 +256,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             level = level.where("lang is null")
         clashes = level.where("low <> high").select("fp")
         if not clashes.isEmpty():
-            again = plain.mapInArrow(_spelled(n, _bit_map(spark, clashes)), "lang string, n int, fp long, phrase string, count long")
+            again = plain.mapInArrow(_spelled(n, _bit_map(spark, clashes), print_bits), "lang string, n int, fp long, phrase string, count long")
             by_text = again.join(clashes, "fp", "left_semi").groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f"))
             spelled.append(by_text.where(F.col("f") >= least))
         frequent.append(level.where("low = high").drop("lang"))
@@ -258,15 +264,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             map_of = _bit_map(spark, level)
     named = reduce(DataFrame.unionByName, frequent)
     asked = named.join(texts.select("ref", "tid"), "ref").groupBy("tid").agg(F.collect_list(F.struct("n", "fp", "low")).alias("wanted"))
-    phrases = texts.join(asked, "tid").select("lang", "text", "copies", "ref", "wanted").mapInArrow(_cut_out, "lang string, n int, fp long, phrase string")
+    phrases = texts.join(asked, "tid").select("lang", "text", "copies", "ref", "wanted").mapInArrow(partial(_cut_out, print_bits=print_bits), "lang string, n int, fp long, phrase string")
     once = phrases.groupBy("n", "fp").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
     counted = once.join(named.select("n", "fp", F.col("count").alias("f")), ["n", "fp"]).select("lang", "n", "phrase", "f")
     return written(reduce(DataFrame.unionByName, spelled, counted), "phrases"), words
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, print_bits: int = 64) -> DataFrame:
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n, score."""
-    counts, words = frequent_phrases(docs, text_col, lang_col, least, longest)
+    counts, words = frequent_phrases(docs, text_col, lang_col, least, longest, print_bits)
     split = F.split("phrase", " ")
     many = counts.where("n > 1").select("lang", "n", "phrase", F.col("f").alias("a"), split.alias("w"))
 

@@ -8,9 +8,9 @@ bytes finds the rest: suffixes that are smaller than their successors are sorted
 over the buckets of first bytes, and neighbours with a common prefix of `width` bytes or more are repeats.
 
 Hot groups: the kinds of one anchor may be many (a line in a third of all documents, each time in other company). Groups of more than
-`LARGE` bytes are split by what the windows have in common beside the anchor: windows that begin at the same `STEP` places before the
-anchor share their inner bytes, and runs cut at these places meet by those. Groups that are large still are split into single windows,
-whose digests decide. No group is ever whole in a task beyond LARGE bytes, and all splits keep every pair of equal windows together.
+`LARGE` bytes are split by what the windows have in common beside the anchor: windows that begin in the same stretch of places before the
+anchor share their inner bytes, and runs cut at these places meet by those. Stretches are a third of a window first, then shorter; the
+last are single windows, whose digests decide. No group is ever whole in a task beyond LARGE bytes, and all splits keep every pair of equal windows together.
 
 Equal texts fold first (they travel once per task); the table of distinct texts is bucketed by its key, so texts are shuffled once. What
 is gathered is one text's runs and marks, or one group's bytes up to LARGE.
@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 
 from sievemask.llm.common import table, text_slices, written
 from sievemask.llm.rolling import BYTE_VALUES, Prefixes, leftmost_minima
-from sievemask.llm.texts import distinct_texts, heavy_keys, joined_by_share, text_key
+from sievemask.llm.texts import discard, distinct_texts, heavy_keys, joined_by_share, text_key
 
 WIDTH = 400
 GRAM = 64
-STEP = 16
 LARGE = 1 << 18
 SLICE = 1 << 20
 RUN = "tid binary, start long, windows int, back int, key long, digest binary, weight long"
@@ -115,6 +114,11 @@ def _pieces(frame: pd.DataFrame, width: int) -> Iterator[tuple[bytes, dict, byte
             yield tid, run, raw[run["start"] : run["start"] + run["windows"] + width - 1]
 
 
+def _steps(width: int) -> list[int]:
+    """How finely large groups are cut: first by a third of a window, so that what parts share is long."""
+    return sorted({max(1, width // 3), max(1, width // 25), 1}, reverse=True)
+
+
 def _finer(texts: DataFrame, runs: DataFrame, step: int, width: int) -> DataFrame:
     def finer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = RUN_FIELDS.names
@@ -131,8 +135,8 @@ def _finer(texts: DataFrame, runs: DataFrame, step: int, width: int) -> DataFram
     return _wanted(texts, runs).mapInPandas(finer, RUN)
 
 
-def suffix_order(data: bytes, depth: int) -> np.ndarray:
-    """The suffixes of `data` in the order of their first `depth` bytes.
+def suffix_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of `data` that are `wanted` (flags; all by default), in the order of their first `depth` bytes.
 
     First stage: suffixes smaller than their successors are sorted. Second stage: the buckets of first bytes are scanned upwards, and each
     suffix that is reached puts its predecessor, if that one is greater, at the end of its bucket's front part; a bucket's sorted
@@ -145,13 +149,18 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
     until = np.append(differs, n - 1)[np.searchsorted(differs, np.arange(n))]  # the last place of a run of one byte
     smaller = np.zeros(n, bool)
     smaller[until < n - 1] = text[until[until < n - 1]] < text[until[until < n - 1] + 1]
-    direct = np.array(sorted(np.flatnonzero(smaller).tolist(), key=lambda p: data[p : p + depth]), dtype=np.int64)
+    wanted = np.ones(n, bool) if wanted is None else wanted
+    sorts = np.append(np.flatnonzero(smaller), n)
+    until = sorts[np.searchsorted(sorts, np.arange(n))]  # a suffix is induced from its successors up to the next sorted one
+    changes = np.bincount(np.flatnonzero(wanted), minlength=n + 2) - np.bincount(until[wanted] + 1, minlength=n + 2)
+    needed = np.cumsum(changes)[:n] > 0
+    direct = np.array(sorted(np.flatnonzero(smaller & needed).tolist(), key=lambda p: data[p : p + depth]), dtype=np.int64)
     direct_cuts = np.searchsorted(text[direct], np.arange(257))
     fronts: list[list[np.ndarray]] = [[] for _ in range(256)]
 
     def reach(places: np.ndarray) -> None:
         before = places[places > 0] - 1
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & needed[before]]
         first = text[before]
         by = np.argsort(first, kind="stable")
         before, first = before[by], first[by]
@@ -172,7 +181,8 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
         some = direct[direct_cuts[bucket] : direct_cuts[bucket + 1]]
         out.append(some)
         reach(some)
-    return np.concatenate(out)
+    order = np.concatenate(out)
+    return order[wanted[order]]
 
 
 def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -197,8 +207,7 @@ def repeated_windows(pieces: list[bytes], windows: list[int], width: int) -> lis
     is_window = np.zeros(len(data) + 1, bool)
     for at, n in zip(begins, windows, strict=False):
         is_window[at : at + n] = True
-    order = suffix_order(data, width)
-    order = order[is_window[order]]
+    order = suffix_order(data, width, is_window[:-1])
     same = _common(np.frombuffer(data, np.uint8), order[:-1], order[1:], width)
     found = np.zeros(len(data) + 1, bool)
     found[order[:-1][same]] = True
@@ -256,30 +265,36 @@ def repeats(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """texts: tid, text, copies. tid, low, high (bytes) of what repeated windows cover, in pieces that may overlap."""
     long = texts.select("tid", "text", "copies").where(F.octet_length("text") >= width)
     runs = written(long.mapInArrow(_run_batches(width), RUN), "runs")
-    found = []
-    for step in (min(STEP, max(1, width // 4)), 1, 0):
+    marks = None
+    for step in (*_steps(width), 0):
+        # Runs whose anchor occurs again; most do not.
+        anchors = written(runs.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1"), "repeated-anchors")
+        common = heavy_keys(anchors, ["key"], "n", runs.count())
+        shared = written(joined_by_share(runs, anchors.select("key"), ["key"], common), "shared-runs")
+        discard(runs, anchors, common)
         one = F.min(F.struct("tid", "start", "windows", "back")).alias("one")
-        kinds = written(runs.groupBy("key", "digest").agg(F.sum("weight").alias("times"), one), "run-kinds")
+        kinds = written(shared.groupBy("key", "digest").agg(F.sum("weight").alias("times"), one), "run-kinds")
         # Runs that occur as a whole somewhere else.
         whole = kinds.where("times > 1").select("key", "digest", "times")
-        heavy = heavy_keys(whole, ["key", "digest"], "times", runs.count())
-        again = joined_by_share(runs, whole.select("key", "digest"), ["key", "digest"], heavy)
-        found.append(again.select("tid", F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + width).alias("high")))
-        if not step:
-            break
+        heavy = heavy_keys(whole, ["key", "digest"], "times", shared.count())
+        again = joined_by_share(shared, whole.select("key", "digest"), ["key", "digest"], heavy)
+        found = again.select("tid", F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1 + width).alias("high"))
         # Different runs with one anchor.
         span = F.sum(F.col("one.windows") + width - 1)
         sizes = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n"), span.alias("size")).where("n > 1"), "group-sizes")
         many = heavy_keys(sizes, ["key"], "n", kinds.count())
-        shared = joined_by_share(kinds.select("key", "one"), sizes, ["key"], many).select("key", "size", "one.*")
-        found.append(_marks_of_groups(texts, shared.where(F.col("size") <= LARGE), width))
-        large = written(shared.where(F.col("size") > LARGE), "large-groups")
-        if large.isEmpty():
+        groups = written(joined_by_share(kinds.select("key", "one"), sizes, ["key"], many).select("key", "size", "one.*"), "groups")
+        if step:
+            found = found.unionByName(_marks_of_groups(texts, groups.where(F.col("size") <= LARGE), width))
+        found = written(found, "marks")
+        discard(shared, kinds, heavy, sizes, many)
+        marks = found if marks is None else marks.unionByName(found)
+        large = groups.where(F.col("size") > LARGE)
+        if not step or large.isEmpty():
+            discard(groups)
             break
         runs = written(_finer(texts, large, step, width), "finer-runs")
-    marks = found[0]
-    for more in found[1:]:
-        marks = marks.unionByName(more)
+        discard(groups)
     return marks
 
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemask.llm.common import fresh, work_folder, written
+from sievemask.llm.common import work_folder, written
+from sievemask.session import shared_dir
 
 HEAVY_SHARE = 1024  # a key is heavy if it holds more than one in so many rows: there are fewer such keys than that
 
@@ -42,12 +43,20 @@ def heavy_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> Da
     return written(counts.where(F.col(count) * HEAVY_SHARE > F.lit(total)).select(*keys), "heavy-keys")
 
 
-def joined_by_share(rows: DataFrame, found: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+def joined_by_share(rows: DataFrame, found: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
     """`rows` joined with `found`, which has at most one row per key. The few heavy keys' rows of `found` go to all tasks, and rows with
     these keys stay where they are; the others are shuffled, none of their keys being large."""
-    light = fresh(rows, "light")
-    apart = F.broadcast(heavy.withColumn(light, F.lit(False)))
-    split = rows.join(apart, keys, "left")
-    hot = split.where(F.col(light).isNotNull()).drop(light).join(F.broadcast(found.join(F.broadcast(heavy), keys, "left_semi")), keys, how)
-    rest = split.where(F.col(light).isNull()).drop(light).join(found, keys, how)
+    hot = rows.join(F.broadcast(found.join(F.broadcast(heavy), keys, "left_semi")), keys)
+    rest = rows.join(F.broadcast(heavy), keys, "left_anti").join(found, keys)
     return hot.unionByName(rest)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that `written` or `bucketed` made, when nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        shared = shared_dir(spark).rstrip("/").removeprefix("file://").removeprefix("file:")
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if shared in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
