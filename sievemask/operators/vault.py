@@ -57,7 +57,7 @@ def extended_vault(spans: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _with_replacements(messages: DataFrame, replaced: DataFrame, touched: Column, out: str) -> DataFrame:
+def with_replacements(messages: DataFrame, replaced: DataFrame, touched: Column, out: str) -> DataFrame:
     """Splices `(session, seq, start, end, replacement)` into the texts.
 
     Texts that `touched` rules out pass through without a shuffle; the others meet their replacements by key."""
@@ -79,7 +79,7 @@ def mask_with(messages: DataFrame, spans: DataFrame, vault: DataFrame, out: str
         vault.select("session", "label", "value", F.col("placeholder").alias("replacement")),
         ["session", "label", "value"],
     ).select("session", "seq", "start", "end", "replacement")
-    return _with_replacements(messages, replaced, recognizers.may_hold(F.col("text")), out)
+    return with_replacements(messages, replaced, recognizers.may_hold(F.col("text")), out)
 
 
 def mask(messages: DataFrame, out: str = "masked") -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,7 @@ def unmask(
     found = tokens.join(entries, ["session", "placeholder"])
     if known_by:
         found = found.where(F.col("_since") <= F.col(known_by))
-    return _with_replacements(messages, found.select("session", "seq", "start", "end", "replacement"), holds, out)
+    return with_replacements(messages, found.select("session", "seq", "start", "end", "replacement"), holds, out)
 
 
 def redact(df: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:

@@ -225,16 +225,21 @@ def restored_streams(spark, sf):
 Q_RESTORED = f"WITH {Q_MESSAGES} SELECT conv_id, turn, md5(text) AS text FROM texts"
 
 
+def _arriving(spark, rows, schema, parts, read):
+    """Rows that arrive in parts: each is appended to a folder, then `read` drains the stream of that folder."""
+    source = scratch(spark, "arriving")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(source)
+        read(spark.readStream.schema(schema).parquet(source))
+
+
 def streamed_unmask(spark, sf):
-    """The hold-back rule over many micro-batches, then restored from the vault."""
+    """The hold-back rule over micro-batches that each hold a part of every stream, then restored from the vault."""
     chunks, vault = _chunks(spark, sf)
-    source, out, mark = (scratch(spark, f"chunks-{x}") for x in ("in", "out", "mark"))
+    out, mark = (scratch(spark, f"chunks-{x}") for x in ("out", "mark"))
     slim = chunks.select("session", "stream", "seq", "chunk", "is_final")
-    for low, high in ((0, 7), (7, 20), (20, None)):
-        # Three files, three micro-batches: parts of every stream.
-        slim.where((F.col("seq") >= low) & (F.lit(True) if high is None else F.col("seq") < high)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    SH.unmask_stream(stream, vault, out, mark)
+    parts = [F.col("seq") < 7, F.col("seq").between(7, 19), F.col("seq") >= 20]
+    _arriving(spark, slim, slim.schema, parts, lambda stream: SH.unmask_stream(stream, vault, out, mark))
     done = spark.read.parquet(out)
     whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "")
     return done.groupBy(F.col("session").cast("long").alias("conv_id"), F.col("stream").cast("long").alias("turn")).agg(
@@ -247,13 +252,11 @@ SELECT conv_id, turn, md5(masked) AS released, md5(text) AS restored FROM masked
 
 
 def streamed_masking(spark, sf):
-    """Messages masked batch by batch with a vault that outlives the batches."""
-    source, vault, out, mark = (scratch(spark, f"mask-{x}") for x in ("in", "vault", "out", "mark"))
+    """Messages masked batch by batch; the numbers of a session outlive the batches."""
+    vault, out, mark = (scratch(spark, f"mask-{x}") for x in ("vault", "out", "mark"))
     rows = messages(spark, sf)
-    for late in (False, True):
-        rows.where((F.col("turn") >= 3) == F.lit(late)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    SM.mask_stream(stream, vault, out, mark)
+    parts = [F.col("turn") < 3, F.col("turn") >= 3]
+    _arriving(spark, rows, rows.schema, parts, lambda stream: SM.mask_stream(stream, vault, out, mark))
     return spark.read.parquet(out).select("conv_id", "turn", digest_of("masked").alias("masked"))
 
 
@@ -315,6 +318,24 @@ def anthropic_deltas(spark, sf):
     return _restored_deltas(spark, sf, "anthropic_messages")
 
 
+def _streamed_deltas(spark, sf, api):
+    """The same over micro-batches that cut every reply: what is held, and what its end flushes, is remembered between them."""
+    events, vault = _events(spark, sf, api)
+    out, mark = (scratch(spark, f"deltas-{x}") for x in ("out", "mark"))
+    parts = [F.col("pos") < 9, F.col("pos").between(9, 30), F.col("pos") > 30]
+    _arriving(spark, events, events.schema, parts, lambda stream: SH.restore_delta_stream(stream, vault, api, out, mark))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "restored"))), lambda x: x["restored"]), "")
+    return spark.read.parquet(out).groupBy("conv_id", "stream").agg(digest_of(whole).alias("text"))
+
+
+def streamed_openai_deltas(spark, sf):
+    return _streamed_deltas(spark, sf, "openai_chat")
+
+
+def streamed_anthropic_deltas(spark, sf):
+    return _streamed_deltas(spark, sf, "anthropic_messages")
+
+
 def _q_deltas(first: str, second: str) -> str:
     return f"""WITH {Q_MESSAGES} SELECT conv_id || '/' || turn AS conv_id, unnest(['{first}', '{second}']) AS stream, md5(text) AS text FROM texts"""
 
@@ -335,4 +356,6 @@ QUERIES = {
     "tolerant_requests": (tolerant_requests, Q_TOLERANT),
     "openai_deltas": (openai_deltas, _q_deltas("content", "args:1")),
     "anthropic_deltas": (anthropic_deltas, _q_deltas("block:0:text", "block:1:json")),
+    "streamed_openai_deltas": (streamed_openai_deltas, _q_deltas("content", "args:1")),
+    "streamed_anthropic_deltas": (streamed_anthropic_deltas, _q_deltas("block:0:text", "block:1:json")),
 }

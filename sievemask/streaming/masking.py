@@ -1,40 +1,36 @@
-"""Streaming mask with a vault that lives in a table.
-
-Per micro-batch: spans are detected, values the vault does not know are numbered after the ones in use, the vault
-grows by one folder, and the batch is masked by joins. No task holds a session, so a session's size is no limit;
-only the sessions of the batch are read from the vault."""
+"""Streaming mask: a session's numbers are keyed state, its entries go to a table, its texts are masked by a join with the batch's own spans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievemask.operators.vault import extended_vault, mask_with, session_spans
-from sievemask.streaming import tables
+from sievemask.operators.detection import span_rows
+from sievemask.operators.vault import placeholder, with_replacements
+from sievemask.functions import recognizers
+from sievemask.streaming.state import NUMBERED, Numbers, drain, remembered
 
 VAULT = "session string, label string, value string, seq long, start int, n long, placeholder string"
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{VAULT}, batch long, bucket int").parquet(path)
-
-
-def mask_stream(messages: DataFrame, vault_path: str, out_path: str, checkpoint: str):
-    """Drains the available `(session, seq, text, ...)` messages; output and vault are parquet folders per batch."""
-    tables.start(messages.sparkSession, vault_path, VAULT)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spans = session_spans(batch)
-        here = spans.select("session").distinct()
-        known = tables.read_before(spark, vault_path, VAULT, batch_id, here)
-        fresh = extended_vault(spans, known)
-        tables.write_batch(fresh.select("session", "label", "value", "seq", "start", "n", "placeholder"), vault_path, batch_id)
-        full = tables.read_before(spark, vault_path, VAULT, batch_id + 1, here)
-        mask_with(batch, spans, full).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-
-    query = (
-        messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+    return spark.read.schema(f"{VAULT}, batch long").parquet(path)
+
+
+def mask_stream(messages: DataFrame, vault_path: str, out_path: str, checkpoint: str, idle_ms: int | None = None):
+    """Drains the available `(session, seq, text, ...)` messages, `seq` being a number; output and vault entries are parquet folders by batch.
+
+    A session that no span has come for in `idle_ms` milliseconds (None: never) is forgotten: its values are numbered from 1 again, as those of
+    a new session. Its entries stay in the table."""
+    rows = messages.select(F.col("session").alias("session"), F.col("seq").cast("long").alias("seq"), "text")
+    spans = span_rows(rows, ["session", "seq"]).select("session", "seq", "start", "end", "label", "value")
+    numbered = remembered(spans, ["session"], Numbers(idle_ms), NUMBERED, idle_ms).withColumn("placeholder", placeholder(F.col("label"), F.col("n")))
+
+    def write(of: dict[str, DataFrame], batch_id: int) -> None:
+        entries = of["spans"].where("fresh").select("session", "label", "value", "seq", "start", "n", "placeholder")
+        entries.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        replaced = of["spans"].select("session", "seq", "start", "end", F.col("placeholder").alias("replacement"))
+        masked = with_replacements(of["messages"], replaced, recognizers.may_hold(F.col("text")), "masked")
+        masked.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return drain({"spans": numbered, "messages": messages}, write, checkpoint)
