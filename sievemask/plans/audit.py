@@ -108,8 +108,27 @@ UNION ALL SELECT conv_id, 1, CASE WHEN kind = 4 THEN 'error' ELSE 'text' END, CA
   NULL, CASE WHEN kind = 4 THEN 503 END FROM sc"""
 
 
+def captured_requests(spark, sf):
+    """`(conv_id, turn, body)`: request bodies as a proxy run would leave them, values replaced where the masker knew them."""
+    sc = scenarios(spark, sf)
+    turns = A.conversation_turns(sc).join(sc.select(F.col("id").alias("conv_id"), "api", "kind").withColumnRenamed("kind", "variant"), "conv_id")
+    first, second = F.get("pii", F.lit(0)), F.get("pii", F.lit(1))
+    known = F.when(F.col("variant") == 5, F.col("text")).otherwise(F.replace("text", first, F.lit("[PAN_1]")))
+    said = F.to_json(F.array(F.replace(known, second, F.lit("[PHONE_1]"))))
+    said = F.substring(said, F.lit(2), F.length(said) - 2)
+    is_result = F.col("kind") == "tool_result"
+    openai = F.when(is_result, F.concat(F.lit('{"role":"tool","tool_call_id":"c1","content":'), said, F.lit("}"))).otherwise(F.concat(F.lit('{"role":"user","content":'), said, F.lit("}")))
+    blocks = F.concat(F.lit('{"role":"user","content":[{"type":"text","text":'), said, F.lit("}]}"))
+    body = F.concat(F.lit('{"model":"m","messages":[{"role":"system","content":"be brief"},'), F.when(F.col("api") == "openai_chat", openai).otherwise(blocks), F.lit("]}"))
+    return sc, turns.select("conv_id", "turn", body.alias("body"))
+
+
+def _captured_alignments(spark, sf):
+    return A.alignment_rows(A.aligned_requests(*captured_requests(spark, sf)))
+
+
 def aligned_slots(spark, sf):
-    return R.replay(scenarios(spark, sf))["alignments"].select("conv_id", *[big(c).alias(c) for c in ("turn", "occ", "slot")], "text")
+    return _captured_alignments(spark, sf).select("conv_id", *[big(c).alias(c) for c in ("turn", "occ", "slot")], "text")
 
 
 Q_ALIGNED = f"""WITH {Q_SCENARIOS} SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS occ, 0::BIGINT AS slot, p0 AS text FROM sc
@@ -117,7 +136,7 @@ UNION ALL SELECT conv_id, 0, 1, 1, p1 FROM sc UNION ALL SELECT conv_id, 1, 0, 0,
 
 
 def first_slot_texts(spark, sf):
-    t = A.first_placeholders(R.replay(scenarios(spark, sf))["alignments"])
+    t = A.first_placeholders(_captured_alignments(spark, sf))
     return t.select("conv_id", big("slot").alias("slot"), "text", big("since").alias("since"))
 
 

@@ -13,14 +13,14 @@ def messages(spark, rows):
 
 
 def test_round_trip_reuses_placeholders(spark):
-    rows = messages(spark, [("s", 0, "PAN ABCPS1234K and again ABCPS1234K"), ("s", 1, "call 9876543210, PAN ABCPS1234L"), ("s", 2, "nothing here"), ("t", 0, "PAN ABCPS1234K")])
+    rows = messages(spark, [("s", 0, "PAN QWKPD4821F and again QWKPD4821F"), ("s", 1, "call 9876543210, PAN ABCPS1234L"), ("s", 2, "nothing here"), ("t", 0, "PAN QWKPD4821F")])
     masked, vault = V.mask(rows)
     got = {(r["session"], r["seq"]): r["masked"] for r in masked.collect()}
     assert got == {
         ("s", 0): "PAN [PAN_1] and again [PAN_1]", ("s", 1): "call [PHONE_1], PAN [PAN_2]", ("s", 2): "nothing here", ("t", 0): "PAN [PAN_1]",
     }
     back = V.unmask(messages(spark, [("s", 0, "ok [PAN_1] [PAN_2] [PAN_9] [[PAN_1]"), ("b", 0, "[PAN_1]")]), vault)
-    assert {r["session"]: r["unmasked"] for r in back.collect()} == {"s": "ok ABCPS1234K ABCPS1234L [PAN_9] [ABCPS1234K", "b": "[PAN_1]"}
+    assert {r["session"]: r["unmasked"] for r in back.collect()} == {"s": "ok QWKPD4821F ABCPS1234L [PAN_9] [QWKPD4821F", "b": "[PAN_1]"}
 
 
 def test_restored_values_are_not_restored_again(spark):
@@ -123,7 +123,7 @@ def test_release_across_buckets(spark, monkeypatch):
 def test_chat_bodies(spark):
     import json
 
-    body = {"model": "m", "system": "be kind to 9876543210", "messages": [{"role": "user", "content": "PAN ABCPS1234K", "id": "9876543210"}, {"role": "user", "content": [{"type": "text", "text": "PAN ABCPS1234L"}]}], "user": "9876543210"}
+    body = {"model": "m", "system": "be kind to 9876543210", "messages": [{"role": "user", "content": "PAN QWKPD4821F", "id": "9876543210"}, {"role": "user", "content": [{"type": "text", "text": "PAN ABCPS1234L"}]}], "user": "9876543210"}
     df = spark.createDataFrame([("s", 0, json.dumps(body)), ("s", 1, json.dumps({"messages": []}))], "session string, seq long, body string")
     masked, vault = C.mask_requests(df)
     got = {r["seq"]: json.loads(r["masked_body"]) for r in masked.collect()}
@@ -132,17 +132,17 @@ def test_chat_bodies(spark):
     reply = {"id": "[PAN_1]", "content": [{"type": "text", "text": "got [PAN_2]"}, {"type": "tool_use", "input": {"q": ["[PAN_1]"], "name": "[PAN_1]"}}]}
     back = C.unmask_responses(spark.createDataFrame([("s", 0, json.dumps(reply))], "session string, seq long, body string"), vault)
     restored = json.loads(back.first()["restored_body"])
-    assert restored["id"] == "[PAN_1]" and restored["content"][0]["text"] == "got ABCPS1234L" and restored["content"][1]["input"] == {"q": ["ABCPS1234K"], "name": "[PAN_1]"}
+    assert restored["id"] == "[PAN_1]" and restored["content"][0]["text"] == "got ABCPS1234L" and restored["content"][1]["input"] == {"q": ["QWKPD4821F"], "name": "[PAN_1]"}
 
 
 def test_deltas_flush_before_their_end(spark):
     import json
 
-    vault = spark.createDataFrame([("s", "PAN", "ABCPS1234K", 0, "[PAN_1]")], "session string, label string, value string, seq long, placeholder string")
+    vault = spark.createDataFrame([("s", "PAN", "QWKPD4821F", 0, "[PAN_1]")], "session string, label string, value string, seq long, placeholder string")
     openai = [{"choices": [{"index": 0, "delta": {"content": "Your [PA"}, "finish_reason": None}]}, {"choices": [{"index": 0, "delta": {"content": "N_1] [x"}, "finish_reason": None}]}, {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}]
     df = spark.createDataFrame([("s", "c", i, json.dumps(e)) for i, e in enumerate(openai)], "session string, conv_id string, pos long, data string")
     got = [(r["pos"], r["part"], r["text"]) for r in H.restored_deltas(df, vault, "openai_chat").orderBy("pos", "part").collect()]
-    assert got == [(0, "delta", "Your "), (1, "delta", "ABCPS1234K "), (2, "flush", "[x")]
+    assert got == [(0, "delta", "Your "), (1, "delta", "QWKPD4821F "), (2, "flush", "[x")]
     anthropic = [{"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": "a [b"}}, {"type": "content_block_stop", "index": 0}, {"type": "content_block_stop", "index": 1}]
     df = spark.createDataFrame([("s", "c", i, json.dumps(e)) for i, e in enumerate(anthropic)], "session string, conv_id string, pos long, data string")
     got = [(r["pos"], r["stream"], r["part"], r["text"]) for r in H.restored_deltas(df, vault, "anthropic_messages").orderBy("pos").collect()]
