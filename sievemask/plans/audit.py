@@ -10,9 +10,11 @@ from sievemask.operators import audit as U
 from sievemask.operators import chat as C
 from sievemask.operators import roundtrip as R
 from sievemask.operators import scenario_rules as SR
-from sievemask.plans.common import big, digest_of, q_digits, q_letters, table
+from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, table
 from sievemask.schemas import SEGMENT, TOOL_CALL
+from sievemask.session import frozen
 from sievemask.sources import sse
+from sievemask.sources.scenarios import load_scenarios
 
 
 def _seg(text=None, slot=None, start=None, end=None, mangle=None):
@@ -360,6 +362,29 @@ def repeated_ids(spark, sf):
     return SR.duplicate_ids(sc.unionByName(sc.where("kind = 3")))
 
 
+def loaded_scenarios(spark, sf):
+    """Scenarios written to files and loaded: those that may run, and what is wrong with the others. Some lie in another's folder or break a rule."""
+    sc = scenarios(spark, sf)
+    root = scratch(spark, "scenarios") + "/files"
+    named = F.when(F.col("kind") == 1, F.concat(F.lit("x"), "id")).otherwise(F.col("id"))
+    checks = F.when(F.col("kind") == 3, F.array(F.lit("fails_closed"))).otherwise(F.col("checks"))
+    folder = F.when(F.col("kind") == 4, "unicode").otherwise(F.col("category"))
+    body = F.to_json(F.struct(named.alias("id"), "category", "description", "api", "stream", "pii", "tools", "turns", checks.alias("checks")))
+    sc.select(folder.alias("category"), "id", body.alias("value")).write.partitionBy("category", "id").text(root)
+    fine, problems = load_scenarios(spark, root, folders=True)
+    none = F.lit(None).cast("string")
+    return fine.select("id", "category", big(F.size("turns")).alias("turns"), none.alias("problem")).unionByName(
+        problems.select("id", none.alias("category"), F.lit(None).cast("long").alias("turns"), "problem")
+    )
+
+
+Q_LOADED = f"""WITH {Q_SCENARIOS} SELECT CASE WHEN kind = 1 THEN 'x' ELSE '' END || conv_id AS id,
+  CASE WHEN kind IN (0, 2, 5) THEN (['basic','streaming_split','tool_calls','placeholder_mangling','failure_behaviour','multi_turn'])[(kind+1)::INT] END AS category,
+  CASE WHEN kind IN (0, 2, 5) THEN 2::BIGINT END AS turns,
+  CASE kind WHEN 1 THEN 'file ' || conv_id || ' holds id x' || conv_id WHEN 3 THEN 'fails_closed and http_error go together'
+    WHEN 4 THEN 'folder unicode holds category failure_behaviour' END AS problem FROM sc"""
+
+
 def parsed_requests(spark, sf):
     """Requests in both formats: content as a string, as blocks, and as a tool result."""
     rows = table(spark, sf, "conversations").withColumn("api", F.when(F.col("turn") % 2 == 0, "openai_chat").otherwise("anthropic_messages"))
@@ -444,6 +469,16 @@ SELECT conv_id, turn, n + CASE WHEN turn % 2 = 0 THEN 4 ELSE 3 END AS events, CA
   n + CASE WHEN turn % 2 = 0 THEN 5 ELSE 4 END AS with_tail, CASE WHEN turn % 2 = 0 THEN '{"cut"' ELSE '{"type":"message_stop"}' END AS last FROM c"""
 
 
+def pieced_events(spark, sf):
+    """The same counts from bodies that were captured in pieces of seven characters, which cut lines, line ends and events anywhere."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 7).cast("int")), lambda i: F.substring("body", i * 7 + 1, F.lit(7)))
+    pieces = frozen(captured_bodies(spark, sf).select("conv_id", "turn", F.posexplode(cut).alias("at", "piece")))
+    keys = ["conv_id", "turn"]
+    strict = sse.pieced_event_rows(pieces, keys, "at").groupBy(*keys).agg(big(F.count(F.lit(1))).alias("events"), big(F.count("name")).alias("named"))
+    tail = sse.pieced_event_rows(pieces, keys, "at", emit_tail=True).groupBy(*keys).agg(big(F.count(F.lit(1))).alias("with_tail"), F.max_by("data", "pos").alias("last"))
+    return strict.join(tail, keys)
+
+
 def accumulated_replies(spark, sf):
     b = captured_bodies(spark, sf)
     events = sse.event_rows(b, ["conv_id", "turn", "api"])
@@ -474,5 +509,7 @@ QUERIES = {
     "api_paths": (api_paths, Q_PATHS),
     "parsed_responses": (parsed_responses, Q_RESPONSES),
     "event_counts": (event_counts, Q_EVENTS),
+    "pieced_events": (pieced_events, Q_EVENTS),
+    "loaded_scenarios": (loaded_scenarios, Q_LOADED),
     "accumulated_replies": (accumulated_replies, Q_ACCUMULATED),
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from sievemask.corpus.draws import digits, letters
 from sievemask.operators import chat as C
 from sievemask.operators import holdback as H
+from sievemask.operators import plugin as P
 from sievemask.operators import vault as V
 from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch, table
 from sievemask.session import frozen
@@ -340,7 +344,70 @@ def _q_deltas(first: str, second: str) -> str:
     return f"""WITH {Q_MESSAGES} SELECT conv_id || '/' || turn AS conv_id, unnest(['{first}', '{second}']) AS stream, md5(text) AS text FROM texts"""
 
 
+class Stand:
+    """A masker with a memory: identifiers become made-up ones, numbered in the order they come."""
+
+    SHAPE, MADE = re.compile(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), re.compile(r"\bZZZZZ[0-9]{4}Z\b")
+
+    def __init__(self):
+        self.of, self.back = {}, {}
+
+    def mask(self, text):
+        return self.SHAPE.sub(lambda m: self._made(m.group()), text)
+
+    def _made(self, value):
+        if value not in self.of:
+            self.of[value] = f"ZZZZZ{len(self.of) + 1:04d}Z"
+            self.back[self.of[value]] = value
+        return self.of[value]
+
+    def unmask(self, text):
+        return self.MADE.sub(lambda m: self.back.get(m.group(), m.group()), text)
+
+    def save(self):
+        return json.dumps(self.of).encode()
+
+    def load(self, data):
+        self.of = json.loads(data)
+        self.back = {made: value for value, made in self.of.items()}
+
+
+def _requests(spark, sf):
+    """Each turn is masked, then a reply that names the first two stand-ins is unmasked; a request before all others finds no session."""
+    rows = messages(spark, sf)
+    asked = F.array(
+        F.struct((F.col("turn") * 2).alias("seq"), F.lit("mask").alias("op"), F.col("text")),
+        F.struct((F.col("turn") * 2 + 1).alias("seq"), F.lit("unmask").alias("op"), F.lit("ZZZZZ0001Z, ZZZZZ0002Z").alias("text")),
+    )
+    early = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("unmask").alias("op"), F.lit("ZZZZZ0001Z").alias("text")))
+    asked = F.when(F.col("turn") == 0, F.concat(early, asked)).otherwise(asked)
+    return rows.select("session", "conv_id", F.explode(asked).alias("r")).select("session", "conv_id", big("r.seq").alias("seq"), "r.op", "r.text")
+
+
+def user_masking(spark, sf):
+    """A user's masker that remembers, per session and in turn order."""
+    return P.answered_by(_requests(spark, sf), Stand).select("conv_id", "seq", "op", "status", digest_of("result").alias("result"), "message")
+
+
+def streamed_user_masking(spark, sf):
+    """The same over micro-batches that cut every session."""
+    rows = _requests(spark, sf).select("session", "seq", "op", "text")
+    out, mark = (scratch(spark, f"user-{x}") for x in ("out", "mark"))
+    parts = [F.col("seq") < 2, F.col("seq").between(2, 5), F.col("seq") > 5]
+    _arriving(spark, rows, rows.schema, parts, lambda stream: SM.answer_stream(stream, Stand, out, mark))
+    return spark.read.parquet(out).select(F.col("session").cast("long").alias("conv_id"), "seq", "op", "status", digest_of("result").alias("result"), "message")
+
+
+_Q_KNOWN = "CASE WHEN {n} IN (SELECT n FROM pans p WHERE p.conv_id = m.conv_id AND p.first <= m.turn) THEN (SELECT value FROM pans p WHERE p.conv_id = m.conv_id AND p.n = {n}) ELSE 'ZZZZZ000{n}Z' END"
+Q_USER = f"""WITH {Q_MESSAGES}, pans AS (SELECT conv_id, pan AS value, min(turn) AS first, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM m GROUP BY 1, 2)
+SELECT conv_id, turn * 2 AS seq, 'mask' AS op, 'done' AS status, md5(replace(text, pan, 'ZZZZZ000' || (SELECT n FROM pans p WHERE p.conv_id = t.conv_id AND p.value = t.pan) || 'Z')) AS result, NULL::VARCHAR AS message FROM texts t
+UNION ALL SELECT conv_id, turn * 2 + 1, 'unmask', 'done', md5({_Q_KNOWN.format(n=1)} || ', ' || {_Q_KNOWN.format(n=2)}), NULL FROM m
+UNION ALL SELECT conv_id, -1, 'unmask', 'failed', NULL, 'ValueError: the session has masked nothing yet' FROM m WHERE turn = 0"""
+
+
 QUERIES = {
+    "user_masking": (user_masking, Q_USER),
+    "streamed_user_masking": (streamed_user_masking, Q_USER),
     "vault_of_sessions": (vault_of_sessions, Q_VAULT),
     "vault_of_one_session": (vault_of_one_session, Q_SHARED_VAULT),
     "masked_messages": (masked_messages, Q_MASKED),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemask.operators import reports as R
 from sievemask.plans.common import big, scratch, table
+from sievemask.session import frozen
 from sievemask.sources import runs as RS
 from sievemask.sources import samples as SRC
 
@@ -153,6 +154,31 @@ r AS (SELECT 'strict' AS mode, CASE k WHEN 1 THEN 'does not parse' WHEN 2 THEN '
 SELECT mode, reason, count(*) AS n, count(DISTINCT CASE WHEN reason = 'good' THEN id END) AS ids FROM r GROUP BY 1, 2"""
 
 
+def first_rejected_lines(spark, sf):
+    """The first line of each file that does not parse or knows too much, by its number in the file; files are read in many splits."""
+    s = _conversation_samples(spark, sf)
+    line = F.to_json(F.struct(*[c for c in s.columns if c not in ("conv_id", "turn")]), {"ignoreNullFields": "false"})
+    k = (F.col("conv_id") * 10 + F.col("turn")) % 50
+    broken = F.when(k == 33, F.substring(line, F.lit(1), F.length(line) - 5)).when(k == 44, F.regexp_replace(line, r"\}\z", ',"extra":1}')).when(k % 5 == 2, F.lit("  ")).otherwise(line)
+    path = scratch(spark, "files") + "/lines"
+    rows = s.select((F.col("conv_id") % 4).alias("part"), "conv_id", "turn", broken.alias("value"))
+    rows.repartition(4, "part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(path)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")  # so that small files have many splits too
+    try:
+        _, bad = SRC.read_samples(spark, f"{path}/part=*")
+        first = frozen(SRC.first_rejected(bad))
+    finally:
+        spark.conf.set(size, before)
+    return first.select(big(F.regexp_extract("file", r"part=(\d+)/", 1)).alias("part"), "line_no", "reason")
+
+
+Q_FIRST_REJECTED = """WITH r AS (SELECT conv_id % 4 AS part, (conv_id * 10 + turn) % 50 AS k, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS line_no FROM conversations),
+b AS (SELECT part, line_no, CASE k WHEN 33 THEN 'does not parse' ELSE 'unknown fields: extra' END AS reason FROM r WHERE k IN (33, 44))
+SELECT part, line_no, reason FROM b QUALIFY row_number() OVER (PARTITION BY part ORDER BY line_no) = 1"""
+
+
 def written_dataset(spark, sf):
     """A dataset written, checked, written again unchanged, and refused when changed."""
     s = _conversation_samples(spark, sf)
@@ -248,6 +274,7 @@ QUERIES = {
     "control_summary": (control_summary, Q_CONTROL),
     "dataset_conflicts": (dataset_conflicts, Q_CONFLICTS),
     "read_back_samples": (read_back_samples, Q_READ),
+    "first_rejected_lines": (first_rejected_lines, Q_FIRST_REJECTED),
     "written_dataset": (written_dataset, "SELECT 'v1' AS version, count(*) AS sample_count, true AS ok, true AS first, false AS again, true AS refused FROM conversations"),
     "order_fingerprint": (order_fingerprint, Q_FINGERPRINT),
     "stored_runs": (stored_runs, Q_STORED),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,20 +14,29 @@ def ddl(schema: str) -> T.StructType:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of a JSON-lines file or folder, with the file and the byte order kept as `line_no`.
-
-    Files are split freely; the number is only unique and increasing within a file, which is enough to find the
-    line again."""
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("value"), F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("line_no"),
-        )
-        .where(~F.col("value").rlike(r"\A\s*\z"))
+    """Non-blank lines of a JSON-lines file or folder: value, file, and the line's place as (block, row): where its split of the file
+    begins, and a number that grows within the split. `located` turns places into line numbers."""
+    return _all_lines(spark, path).where(~F.col("value").rlike(r"\A\s*\z"))
+
+
+def _all_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
+def located(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Adds `line_no`, the line's number in its file from 1, blank lines counted, to rows of `lines`.
+
+    Files are split freely; a row per split says how many lines it holds, and the splits before it are added up per file. Only places
+    are read for that, and only `rows` are joined."""
+    splits = _all_lines(spark, path).groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    return rows.join(shifts, ["file", "block"]).withColumn("line_no", F.col("row") + F.col("_shift")).drop("_shift", "block", "row")
+
+
 def unknown_fields(json_text: Column, schema: T.StructType) -> Column:
     """Names (dotted) of fields in the text that the schema does not have, at every level of objects."""
     none = F.array().cast("array<string>")
@@ -51,7 +60,7 @@ def unknown_fields(json_text: Column, schema: T.StructType) -> Column:
 
 
 def checked(df: DataFrame, schema: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Splits `(value, file, line_no)` lines into typed rows and rejected lines with a reason.
+    """Splits `lines` into typed rows and rejected lines with their place and a reason.
 
     Strict schemas also reject fields they do not know; lenient ones drop them."""
     shape = ddl(schema)
@@ -64,12 +73,14 @@ def checked(df: DataFrame, schema: str, strict: bool = True) -> tuple[DataFrame,
     )
     marked = parsed.withColumn("reason", reason)
     good = marked.where("reason is null").select("_row.*").drop("_corrupt")
-    bad = marked.where("reason is not null").select("file", "line_no", "value", "reason")
+    bad = marked.where("reason is not null").select("file", "block", "row", "value", "reason")
     return good, bad
 
 
 def read_samples(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    return checked(lines(spark, path), SAMPLES, strict)
+    """Samples, and rejected lines `(file, line_no, value, reason)`."""
+    good, bad = checked(lines(spark, path), SAMPLES, strict)
+    return good, located(bad, spark, path).select("file", "line_no", "value", "reason")
 
 
 def first_rejected(rejected: DataFrame) -> DataFrame:

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievemask.operators.scenario_rules import duplicate_ids, with_problem
 from sievemask.schemas import SCENARIOS
 
 
-def load_scenarios(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Scenarios under `<root>/<category>/<id>.json` sorted by id, and `(id, problem)` of what must not run."""
-    raw = spark.read.schema(SCENARIOS).option("multiLine", True).json(f"{root}/*/*.json").withColumn(
-        "_path", F.col("_metadata.file_path")
-    )
-    stem = F.regexp_extract("_path", r"([^/]+)\.json\z", 1)
-    folder = F.regexp_extract("_path", r"([^/]+)/[^/]+\z", 1)
+def write_scenarios(scenarios: DataFrame, root: str) -> None:
+    """A folder for each category and in it one for each id, as `load_scenarios` reads them with `folders`."""
+    body = F.to_json(F.struct(*[f.name for f in StructType.fromDDL(SCENARIOS).fields]))
+    scenarios.select("category", "id", body.alias("value")).write.partitionBy("category", "id").text(root)
+
+
+def load_scenarios(spark: SparkSession, root: str, folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scenarios under `<root>/<category>/<id>.json`, or with `folders` under `<root>/category=<category>/id=<id>/`, sorted by id, and `(id, problem)` of
+    what must not run."""
+    files = f"{root}/category=*/id=*/*" if folders else f"{root}/*/*.json"
+    raw = spark.read.schema(SCENARIOS).option("multiLine", True).json(files).withColumn("_path", F.col("_metadata.file_path"))
+    stem = F.regexp_extract("_path", r"id=([^/]+)/[^/]+\z" if folders else r"([^/]+)\.json\z", 1)
+    folder = F.regexp_extract("_path", r"category=([^/]+)/[^/]+/[^/]+\z" if folders else r"([^/]+)/[^/]+\z", 1)
     location = F.when(stem != F.col("id"), F.concat(F.lit("file "), stem, F.lit(" holds id "), "id")).when(
         folder != F.col("category"), F.concat(F.lit("folder "), folder, F.lit(" holds category "), "category")
     )

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessorHandle
 
+from sievemask.functions import recognizers
 from sievemask.operators.detection import span_rows
+from sievemask.operators.plugin import answered
 from sievemask.operators.vault import placeholder, with_replacements
-from sievemask.functions import recognizers
-from sievemask.streaming.state import NUMBERED, Numbers, drain, remembered
+from sievemask.streaming.state import NUMBERED, Expiring, Numbers, drain, remembered
 
 VAULT = "session string, label string, value string, seq long, start int, n long, placeholder string"
 
@@ -34,3 +39,44 @@ def mask_stream(messages: DataFrame, vault_path: str, out_path: str, checkpoint:
         masked.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return drain({"spans": numbered, "messages": messages}, write, checkpoint)
+
+
+ANSWERED = "session string, seq long, op string, status string, result string, message string"
+
+
+class UserMasker(Expiring):
+    """A user's masker, kept between micro-batches as the bytes its `save` gives and `load` takes."""
+
+    def __init__(self, make: Callable[[], object], idle_ms: int | None):
+        super().__init__(idle_ms)
+        self._make = make
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        self._saved = handle.getValueState("saved", "active boolean, memory binary")
+        return [self._saved]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.touch(timerValues)
+        masker, active = self._make(), False
+        if self._saved.exists():
+            active, memory = self._saved.get()
+            masker.load(bytes(memory))
+        requests = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        out = []
+        for seq, op, text in zip(requests["seq"], requests["op"], requests["text"], strict=True):
+            out.append((key[0], seq, op, *answered(masker, active, op, None if pd.isna(text) else text)))
+            active = active or op == "mask"
+        self._saved.update((active, masker.save()))
+        yield pd.DataFrame(out, columns=["session", "seq", "op", "status", "result", "message"]).astype({c: object for c in ("result", "message")})
+
+
+def answer_stream(requests: DataFrame, make: Callable[[], object], out_path: str, checkpoint: str, idle_ms: int | None = None):
+    """Drains the available `(session, seq, op, text)` requests through a user's masker per session (`operators.plugin.Masker`, with `save` and
+    `load`), whose memory outlives the micro-batches. A micro-batch's requests of one session are handled by one task, in order."""
+    rows = requests.where("session is not null").select("session", F.col("seq").cast("long").alias("seq"), "op", "text")
+    answers = remembered(rows, ["session"], UserMasker(make, idle_ms), ANSWERED, idle_ms)
+
+    def write(of: dict[str, DataFrame], batch_id: int) -> None:
+        of["answers"].write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    return drain({"answers": answers}, write, checkpoint)

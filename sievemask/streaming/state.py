@@ -29,7 +29,7 @@ def held_of(s: str) -> str:
     return found.group() if found else ""
 
 
-class _Expiring(StatefulProcessor):
+class Expiring(StatefulProcessor):
     """State of a key that is dropped when no row of the key has come for `idle_ms` (None: never)."""
 
     def __init__(self, idle_ms: int | None):
@@ -68,7 +68,7 @@ class _Expiring(StatefulProcessor):
 NUMBERED = "session string, seq long, start int, end int, label string, value string, n long, fresh boolean"
 
 
-class Numbers(_Expiring):
+class Numbers(Expiring):
     """Numbers the distinct values of a session, label by label, in the order they come."""
 
     def states(self, handle: StatefulProcessorHandle) -> list:
@@ -106,7 +106,7 @@ class Numbers(_Expiring):
 HELD = "session string, conv string, grp string, stream string, pos long, lead string"
 
 
-class Held(_Expiring):
+class Held(Expiring):
     """What the open streams of a group hold back. Rows are pieces (`end` 0), ends of the whole group (1), and last pieces of their stream (2).
     Answers with what each stream held before this batch (`lead`), and with a row without it for each stream that an end closes."""
 
@@ -140,7 +140,7 @@ class Held(_Expiring):
 REPLACED = "session string, mid string, start int, end int, replacement string"
 
 
-class Values(_Expiring):
+class Values(Expiring):
     """What the placeholders of a session stand for. Rows with a `value` are entries, the others ask."""
 
     def states(self, handle: StatefulProcessorHandle) -> list:
