@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, its rows dealt out where its scan has fewer tasks than there are cores: one row group cannot be read by two tasks, but the
+    expressions over its rows may take much longer than the reading. A scan with tasks enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     base = shared_dir(spark)

@@ -15,7 +15,7 @@ from sievemask.operators import detection as D
 from sievemask.operators import scoring as S
 from sievemask.plans.common import (
     big, digest_of, q_below, q_between, q_digest, q_digits, q_grouped, q_gstin_index, q_letters, q_list, q_luhn_digit,
-    q_number, q_pick, q_verhoeff_digit, q_verhoeff_state, table,
+    q_number, q_pick, q_verhoeff_digit, q_verhoeff_state, spread, table,
 )
 from sievemask.sources import samples as SRC
 
@@ -170,7 +170,7 @@ def corpus(spark, sf):
     """A sample per order: its key picks the template and the index."""
     names = [t[0] for t in T.TEMPLATES]
     k = F.col("o_orderkey")
-    rows = table(spark, sf, "orders").select(
+    rows = spread(table(spark, sf, "orders")).select(
         F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int")).alias("template_id"), F.floor(k / len(names)).alias("n")
     )
     return B.rendered(rows, T.builtin(spark), SEED)
@@ -316,12 +316,14 @@ FROM (SELECT *, unnest(range(3)) AS n FROM ot WHERE k = 0 AND NOT odd AND templa
 
 
 def noisy_texts(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", digest_of(B.noisy(F.col("text"), F.concat_ws("/", F.lit("noise"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))).alias("noisy"))
+    return spread(table(spark, sf, "conversations")).select("conv_id", "turn", digest_of(B.noisy(F.col("text"), F.concat_ws("/", F.lit("noise"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))).alias("noisy"))
 
 
 Q_NOISY = f"""
 WITH c AS (SELECT conv_id, turn, text, unnest(range(length(text))) AS i FROM conversations),
-h AS (SELECT *, text[i + 1] AS ch, {q_number("sha256('noise/' || conv_id || '/' || turn || '/' || (i - 1) || '/scan')", 1, 6)} % 1000 AS u FROM c),
+n AS (SELECT *, {q_number(f"sha256('noise/' || conv_id || '/' || turn || '/' || ((i - 1) // {B.STRETCH}) || '/scan')", f"1 + 12 * (((i - 1) % {B.STRETCH}) // 4)", 12)} AS bits FROM c WHERE i > 0
+  UNION ALL SELECT *, 0 FROM c WHERE i = 0),
+h AS (SELECT *, text[i + 1] AS ch, (((bits >> (12 * (3 - ((i - 1) % {B.STRETCH}) % 4))::INT) & 4095) * 1000) >> 12 AS u FROM n),
 d AS (SELECT conv_id, turn, i, CASE WHEN i = 0 OR i = length(text) - 1 THEN ch WHEN ch = ' ' AND u < {B.BLANK_LOST} THEN '' WHEN ch = ' ' AND u < {B.BLANK_LOST + B.BLANK_TWICE} THEN '  '
   WHEN ch IN ('.', ',', ';', ':', '!', '?') AND u < {B.STOP_LOST} THEN ''
   WHEN u < {B.MISREAD} THEN CASE ch {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in B.MISREADINGS.items())} ELSE ch END ELSE ch END AS o FROM h)
