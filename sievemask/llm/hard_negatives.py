@@ -33,36 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from sievemask.llm.common import table, written
+from sievemask.llm.integers import BIG_KEY, as_float, as_floats, clipped, key_of, number_of, whole
 
 BLOCK, GROUP, SAMPLE, SHARDS = 4096, 512, 1024, 64
 QUANTILES = (0.99, 0.9, 0.5, 0.0)  # of the sample, for positives
 DEPTHS = (0.25, 0.5, 1.0)  # of the way down from the lowest upper end to the lowest lower end, for negatives
-BIG_KEY = 288  # bytes; a sum of products of scaled doubles has fewer than 2,100 bits and a few for their number
 SLOT = "struct<slot:int,positive:long,score:binary>"
 ANCHOR = f"anchor long, label long, point binary, slots array<{SLOT}>"
 FOUND = "anchor long, slot int, positive long, positive_score binary, found long, score binary"
 
 
-def _whole(values, scale: int, big: bool) -> np.ndarray:
-    """floor(scale * x), exactly: a double from 2^53 on is an integer."""
-    x = np.asarray(values, np.float64)
-    if not big:
-        return np.floor(x * scale).astype(np.int64)
-    return np.array([int(v) * scale if abs(v) >= 2.0**53 else int(np.floor(v * scale)) for v in x.tolist()], object)
-
-
-def _floats(values: np.ndarray) -> np.ndarray:
-    """As doubles; integers beyond their range become infinite."""
-    return np.array([_float(v) for v in values.ravel().tolist()]).reshape(values.shape) if values.dtype == object else values
-
-
-def _float(value) -> float:
-    try:
-        return float(value)
-    except OverflowError:
-        return np.inf if value > 0 else -np.inf
-
-
 class Space:
     """What all tasks know of the vectors: the order of dimensions, their number, and how they are stored."""
 
@@ -75,20 +55,20 @@ class Space:
             row = np.zeros(self.width, np.float64)
             row[: len(v)] = v
             row = row[self.order]
-            out.append(row.tobytes() if self.big else _whole(row, scale, False).astype(self.kind).tobytes())
+            out.append(row.tobytes() if self.big else whole(row, scale, False).astype(self.kind).tobytes())
         return out
 
     def load(self, blob: bytes, scale: int) -> np.ndarray:
         """Rows of integers: as doubles, which are exact, or as Python integers."""
         if self.big:
-            return _whole(np.frombuffer(blob, np.float64), scale, True).reshape(-1, self.width)
+            return whole(np.frombuffer(blob, np.float64), scale, True).reshape(-1, self.width)
         return np.frombuffer(blob, self.kind).reshape(-1, self.width).astype(np.float64)
 
 
 def _lengths(points: np.ndarray) -> np.ndarray:
     """Norms of the first 0, 1, ... dimensions of each row."""
     with np.errstate(over="ignore"):
-        squares = _floats(points).astype(np.float64) ** 2
+        squares = as_floats(points) ** 2
         return np.sqrt(np.concatenate([np.zeros((len(points), 1)), np.cumsum(squares, axis=1)], axis=1))
 
 
@@ -107,7 +87,7 @@ def reaching(queries: np.ndarray, rows: np.ndarray, limits: np.ndarray) -> Itera
         posted = np.where(np.arange(x.shape[1])[None, :] >= cut[:, None], x, 0)
         partial = queries @ posted.T
         rest = q_norms[:, cut] * x_norms[indexed, cut][None, :]
-        known = _floats(partial)
+        known = as_floats(partial)
         bound = known + rest + 1e-9 * (np.abs(known) + rest) + 1
         for i in range(len(queries)):
             hits = np.flatnonzero(~(bound[i] < limits[i]))
@@ -153,13 +133,6 @@ def mined(
     big = most * most * width >= 2**53
     space = Space(width, order, big, "float64" if big else "int16" if most < 2**15 else "int32" if most < 2**31 else "int64")
     score_bytes = BIG_KEY if big else 8
-    offset = 1 << (8 * score_bytes - 1)
-
-    def key(score) -> bytes:
-        return (int(score) + offset).to_bytes(score_bytes, "big")
-
-    def number(k: bytes) -> int:
-        return int.from_bytes(k, "big") - offset
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -198,13 +171,13 @@ def mined(
         if same:
             if QUANTILES[step] == 0.0 or not len(seen):
                 return np.full(len(queries), -np.inf)
-            scores = np.sort(_floats(queries @ seen.T), axis=1)
+            scores = np.sort(as_floats(queries @ seen.T), axis=1)
             return np.where(np.isfinite(scores), scores, -np.inf)[:, int(QUANTILES[step] * (scores.shape[1] - 1))]
         out = np.empty(len(queries))
         for i, some in enumerate(slots):
-            ends = [_window(number(s["score"]), low, high) for s in some]
+            ends = [_window(number_of(s["score"]), low, high) for s in some]
             top, bottom = min(e[1] for e in ends), min(e[0] for e in ends)
-            out[i] = _float(bottom if DEPTHS[step] == 1.0 else max(bottom, top - int(DEPTHS[step] * 100) * (top - bottom) // 100))
+            out[i] = as_float(bottom if DEPTHS[step] == 1.0 else max(bottom, top - int(DEPTHS[step] * 100) * (top - bottom) // 100))
         return np.where(np.isnan(out) | np.isposinf(out), -np.inf, out)  # without a threshold that a double can hold, none
 
     def groups(step: int, same: bool):
@@ -241,10 +214,10 @@ def mined(
                             if same:
                                 fit = np.flatnonzero(ids[places] != anchors[i])
                             else:
-                                bottom, top = _window(number(s["score"]), low, high)
+                                bottom, top = _window(number_of(s["score"]), low, high)
                                 fit = np.flatnonzero(np.array((scores >= bottom) & (scores <= top), bool))
                             best = fit[_best(scores[fit], ids[places[fit]], k)] if len(fit) else []
-                            out += [(anchors[i], s["slot"], s["positive"], s["score"], ids[places[j]], key(scores[j])) for j in best]
+                            out += [(anchors[i], s["slot"], s["positive"], s["score"], ids[places[j]], key_of(scores[j], score_bytes)) for j in best]
                     if out:
                         yield pd.DataFrame(out, columns=["anchor", "slot", "positive", "positive_score", "found", "score"])
 
@@ -287,10 +260,9 @@ def mined(
     found = search(written(anchors.drop("slots").join(slots, "anchor"), "anchors"), negatives, False)
 
     def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least, greatest = -(2**63), 2**63 - 1
         for f in frames:
             for c in ("positive_score", "negative_score"):
-                f[c] = pd.Series([max(least, min(greatest, number(k))) for k in f[c]], dtype="int64")
+                f[c] = pd.Series([clipped(number_of(k)) for k in f[c]], dtype="int64")
             yield f
 
     named = found.select(

@@ -192,3 +192,38 @@ def test_join_by_share_and_discard(spark):
     discard(held, heavy)
     with pytest.raises(Exception, match="(?i)does not exist|not exist|FileNotFound|FILE_NOT_EXIST"):
         held.groupBy("k").count().collect()
+
+
+# --- top-k of any size of numbers ---
+
+
+@pytest.mark.parametrize("case", ["64 bits", *list(CASES)[1:]])
+def test_topk_of_large_numbers(spark, case):
+    from sievemask.llm import topk
+
+    rows = [(i, v) for i, _, v in some_vectors() if i != 50]
+    rows += [(i, v) for i, _, v in CASES[case]] if case in CASES else [(2000 + i, [rng.uniform(-4e5, 4e5) for _ in range(6)]) for i in range(60)]
+    whole = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole[i] = [int(x) * 1024 if abs(x) >= 2**53 else math.floor(x * 1024) for x in v]
+    want = []
+    for q, v in whole.items():
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for i, w in whole.items() if i != q)[:10]
+            want += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, lambda ids: ids % 50 == 0, "vec_id", "embedding")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_runs_of_long_texts_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 700)
+    data = np.frombuffer("".join(rng.choice("abc ") for _ in range(5000)).encode(), np.uint8)
+    offsets = np.array([0, 0, 1200, 1250, 5000])
+    seen = Counter()
+    for row, first, n, back, _key in suffix_dedup._runs(data, offsets, 100):
+        for r, a, k, b in zip(row.tolist(), first.tolist(), n.tolist(), back.tolist(), strict=True):
+            assert offsets[r] <= a and a + k - 1 + 100 <= offsets[r + 1] and 0 <= b <= 100
+            seen.update(range(a, a + k))
+    assert seen == Counter([*range(1101), *range(1250, 4901)])
