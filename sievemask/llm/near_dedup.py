@@ -12,13 +12,15 @@ Nothing is done for each pair of a group:
 2. In each band group, the classes are compared with the group's least and greatest member only.
 3. The links found make components. Where a band group still holds several, members outside its largest component are
    compared with one member of that, chosen by hash for each band group; HUB_ROUNDS times.
-4. Where a band group holds several components even then, the classes of different components are compared, in tiles of at most
-   TILE x TILE, by longer sketches (LONG registers) that are made for them; a pair leaves the tile once (in the first band it
-   shares), and only if its estimate passes.
+4. Where a band group holds several components even then, its classes are joined across components by their rarest shingles. Sets of
+   n and m >= n shingles that reach the threshold t have 2t/(1+t) n in common or more, so in any one order of shingles the first
+   n - 2t/(1+t) n + 1 of the smaller set and the first m - tm + 1 of the larger share one, early enough for the rest to suffice. In order of
+   frequency among these classes, versions of a template that do not reach the threshold differ in just those shingles, so
+   they do not meet: nothing is made for their pairs.
 5. All verified links make the final components.
 
-So every pair of candidates is either compared, or already connected. Sets are rebuilt from the texts of documents in question; a
-filter of fixed size keeps the other texts out of the shuffle.
+So every pair of candidates is either compared, already connected, or shown to be under the threshold by its exact sets. Sets are rebuilt
+from the texts of documents in question; a bit map, sized by their number up to `MAP_BITS`, keeps most other texts out of the shuffle.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; with fewer words than a shingle has, the whole
 sequence is the one shingle; a row without id links with nothing and stays; rows that repeat an id are one document (all of them
@@ -32,18 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemask.llm.common import fresh, mixed, runs, table, text_slices, words, written
 from sievemask.llm.components import components
+from sievemask.llm.texts import heavy_keys, joined_by_share
 
-BANDS, ROWS, TILE, HUB_ROUNDS = 32, 5, 256, 1
-REGISTERS, LONG = BANDS * ROWS, 1024
+BANDS, ROWS, HUB_ROUNDS = 32, 5, 1
+REGISTERS = BANDS * ROWS
+MAP_BITS = 1 << 27
 BASE, RATE, TOP = 1.001, 20.0, 65534
-SLACK, LONG_SLACK = 0.15, 0.05  # an estimate this far below the threshold is still verified: four standard errors or more
+SLACK = 0.15  # an estimate this far below the threshold is still verified: four standard errors or more
 _PLUS = np.uint64(0x9E3779B97F4A7C15)
-_FLIPS = mixed(np.arange(1, LONG + 1, dtype=np.uint64) * _PLUS)
+_FLIPS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _PLUS)
 _TIMES = mixed(_FLIPS) | np.uint64(1)
 
 
@@ -72,11 +76,11 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else hashes[:0]), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
-def registers(sets: np.ndarray, starts: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+def registers(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SetSketch registers, a row for each of the sets that begin at `starts` (none is empty)."""
-    out = np.empty((len(starts), count), np.float64)
+    out = np.empty((len(starts), REGISTERS), np.float64)
     buffer = np.empty_like(sets)
-    for i in range(count):
+    for i in range(REGISTERS):
         np.bitwise_xor(sets, _FLIPS[i], out=buffer)
         np.multiply(buffer, _TIMES[i], out=buffer)
         out[:, i] = (np.minimum.reduceat(buffer, starts) >> np.uint64(11)).astype(np.float64)
@@ -130,11 +134,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return _sets(docs, width, "id long, n long, print binary, regs binary", make)
 
 
-def _long_sketches(rows: pa.RecordBatch, sets: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    some = np.flatnonzero(np.diff(starts))
-    made = registers(sets, starts[:-1][some], LONG) if len(some) else []
-    ids = rows.column(0).cast(pa.int64()).take(pa.array(some, pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in made], pa.binary())], ["id", "long"])
+def _flat(rows: pa.RecordBatch, sets: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """A row for each shingle of each document."""
+    ids = rows.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array(sets.view(np.int64))], ["rep", "s"])
 
 
 def _band_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,35 +164,36 @@ def _likely(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs (id, text) whose id may be in `wanted` (id): a bit map of 2^22 bits, at most 65,536 words, is broadcast."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 22))
+    """Rows of docs (id, text) whose id may be in `wanted` (id), by a bit map of eight bits or more for each, up to MAP_BITS."""
+    size = min(MAP_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     return docs.join(F.broadcast(bits), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text of the documents in `wanted`; of rows that repeat an id, the least text."""
+    return _held(docs, wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """pairs: a, b (once each), docs: id, text. The pairs whose full sets reach the threshold.
 
     A document's set travels once for each of its partners as `a`, so the hubs should be `b`."""
     percent = round(100 * threshold)
-    partners = pairs.groupBy(F.col("a").alias("_a")).agg(F.collect_set("b").alias("_b"))
     sides = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
-    texts = written(_held(docs, sides).join(sides, "id", "left_semi").dropDuplicates(["id"]), "asked-texts")
+    texts = written(_texts_of(docs, sides), "asked-texts")
 
     def make(rows: pa.RecordBatch, sets: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        ids, b = rows.column(0).cast(pa.int64()).to_pylist(), rows.column(2).to_pylist() if rows.num_columns > 2 else None
         made = [sets[s:e].tobytes() for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        if b is None:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], ["id", "whole"])
-        flat = [(i, x, m) for i, xs, m in zip(ids, b, made, strict=True) for x in xs]
-        columns = zip(*flat, strict=True) if flat else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "b", "set_a"])
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(made, pa.binary())], ["id", "whole"])
+
+    def sets_of(side: str) -> DataFrame:
+        mine = texts.join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
+        return _sets(mine, width, "id long, whole binary", make).select(F.col("id").alias(side), F.col("whole").alias(f"set_{side}"))
 
-    left = _sets(texts.join(partners, F.col("id") == F.col("_a")).select("id", "text", "_b"), width, "a long, b long, set_a binary", make)
-    hubs = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-    right = _sets(hubs.select("id", "text"), width, "id long, whole binary", make)
-    met = left.join(right, left["b"] == right["id"]).select("a", "b", "set_a", "whole")
+    met = pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").select("a", "b", "set_a", "set_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,53 +208,25 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _tile_pairs(threshold: float):
-    def close(f: pd.DataFrame) -> pd.DataFrame | None:
-        """f: the rows of one tile pair. Side 0 meets side 1; in a tile that meets itself, all rows are on both."""
-        left, right = f[f["side"] != 1], f[f["side"] != 0]
-        if not len(left) or not len(right):
-            return None
-        x, y = left["rep"].to_numpy()[:, None], right["rep"].to_numpy()[None, :]
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        some = (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-        if (f["side"] == 2).any():
-            some &= x < y
-        i, j = np.nonzero(some)
-        if not len(i):
-            return None
-        a, b = (np.frombuffer(b"".join(s["regs"]), np.uint16).reshape(len(s), REGISTERS) for s in (left, right))
-        x_long, y_long = (np.frombuffer(b"".join(s["long"]), np.uint16).reshape(len(s), LONG) for s in (left, right))
-        out = []
-        for at in range(0, len(i), 1024):
-            p, q = i[at : at + 1024], j[at : at + 1024]
-            agree = (a[p] == b[q]).reshape(-1, BANDS, ROWS).all(2)
-            first = agree.argmax(1) == int(f["band"].iloc[0])
-            p, q = p[first], q[first]
-            good = estimates(x_long[p], y_long[q], n[p, 0].astype(float), m[0, q].astype(float)) >= threshold - LONG_SLACK
-            out.append(np.stack([x[p[good], 0], y[0, q[good]]]))
-        pair = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": pair.max(0), "b": pair.min(0)})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by tile pair; one may go on in the next batch."""
-        held = None
-        for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            if not len(f):
-                continue
-            same = (f["key"].to_numpy()[1:] == f["key"].to_numpy()[:-1]) & (f["lo"].to_numpy()[1:] == f["lo"].to_numpy()[:-1]) & (f["hi"].to_numpy()[1:] == f["hi"].to_numpy()[:-1])
-            bounds = [0, *(np.flatnonzero(~same) + 1).tolist()]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                found = close(f.iloc[s:e])
-                if found is not None:
-                    yield found
-            held = f.iloc[bounds[-1] :]
-        if held is not None and len(held):
-            found = close(held)
-            if found is not None:
-                yield found
-
-    return run
+def _rare_pairs(open_: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """open_: rep, component, n. Pairs (a, b) of different components that share one of their rarest shingles where sets that reach the
+    threshold have to."""
+    p = round(100 * threshold)
+    flat = written(_sets(_texts_of(docs, open_.select(F.col("rep").alias("id"))), width, "rep long, s long", _flat), "open-shingles")
+    counts = written(flat.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle-counts")
+    shared = joined_by_share(flat, counts, ["s"], heavy_keys(counts, ["s"], "f", flat.count()))
+    # Shingles of one set only come first in its order and meet nothing; they are not here, but counted.
+    own = Window.partitionBy("rep")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    ranked = shared.join(open_, "rep").withColumn("at", alone + F.row_number().over(own.orderBy("f", "s")))
+    probe = written(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(p) * F.col("n") / 100) + 1).select("s", "rep", "component", "n", "at"), "rare-shingles")
+    index = probe.where(F.col("at") <= F.col("n") - F.ceil(F.lit(2 * p) * F.col("n") / (100 + p)) + 1)
+    index = index.select("s", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "at")])
+    smaller = (F.col("n_y") < F.col("n")) | ((F.col("n_y") == F.col("n")) & (F.col("rep_y") < F.col("rep")))
+    close = (F.col("n_y") * 100 >= F.col("n") * p) & (F.col("component_y") != F.col("component"))
+    enough = (1 + F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y"))) * (100 + p) >= (F.col("n") + F.col("n_y")) * p
+    met = probe.join(index, "s").where(smaller & close & enough)
+    return met.select(F.greatest("rep", "rep_y").alias("a"), F.least("rep", "rep_y").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,20 +279,13 @@ def linked(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str
         labels = components(links)
         members = open_members(members, labels)
 
-    asked = written(members.select(F.col("rep").alias("id")).distinct(), "open-classes")
-    whole = _held(texts, asked).join(asked, "id", "left_semi").dropDuplicates(["id"])
-    long_ = written(_sets(whole, width, "id long, long binary", _long_sketches), "long-sketches").withColumnRenamed("id", "rep")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    spread = (
-        members.join(reps.select("rep", "n", "regs").join(long_, "rep"), "rep").withColumn("tiles", tiles).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-        .select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "side", "rep", "n", "component", "regs", "long")
-    )
-    laid_out = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    rest = new_pairs(laid_out.mapInPandas(_tile_pairs(threshold), "a long, b long"), tried, "crossing-pairs")
-    final = labels if rest.isEmpty() else components(links.unionByName(written(verified(rest, texts, width, threshold), "crossing-links")))
+    open_ = written(members.select("rep", "component").distinct().join(reps.select("rep", "n"), "rep"), "open-classes")
+    final = labels
+    if not open_.isEmpty():
+        crossing = new_pairs(_rare_pairs(open_, texts, width, threshold), tried, "crossing-pairs")
+        rest = written(_likely(with_registers(crossing), threshold), "crossing-likely")
+        if not rest.isEmpty():
+            final = components(links.unionByName(written(verified(rest, texts, width, threshold), "crossing-links")))
 
     of_class = reps.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     of_class = written(of_class, "class-components")

@@ -227,3 +227,40 @@ def test_runs_of_long_texts_hold_every_window_once(monkeypatch):
             assert offsets[r] <= a and a + k - 1 + 100 <= offsets[r + 1] and 0 <= b <= 100
             seen.update(range(a, a + k))
     assert seen == Counter([*range(1101), *range(1250, 4901)])
+
+
+# --- versions of a template ---
+
+
+@pytest.mark.parametrize("count", [150, 300])
+def test_versions_below_the_threshold_make_no_pairs(spark, count):
+    """Mutual similarity 0.77: bands hold all of them, no two link, and nothing is made for their pairs; planted links are found."""
+    from sievemask.llm import near_dedup
+
+    body = " ".join(f"t{i}" for i in range(201))
+    rows = [(i, body + "".join(f" v{i}x{k}" for k in range(30))) for i in range(count)]
+    rows += [(1000 + i, rows[i][1].replace(f"v{i}x29", "other")) for i in range(0, count, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("doc_id as id", "text")
+    open_ = docs.selectExpr("doc_id as rep", "doc_id as component", "cast(230 as long) as n")
+    pairs = {(r["a"], r["b"]) for r in near_dedup._rare_pairs(open_, texts, 2, 0.8).collect()}
+    assert pairs == {(1000 + i, i) for i in range(0, count, 30)}
+    if count == 150:
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.linked(docs, 2).collect()}
+        assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_rare_pairs_lose_no_link(spark):
+    from sievemask.llm import near_dedup
+
+    sets = {}
+    for i in range(160):
+        n = rng.choice([1, 2, 3, 5, 9, 20, 40])
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.6 else [f"w{rng.randrange(60)}" for _ in range(n + 1)]
+        sets[i] = [w if rng.random() > 0.05 else f"w{rng.randrange(60)}" for w in base]
+    grams = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or {tuple(w)} for i, w in sets.items()}
+    want = {(a, b) for a in grams for b in grams if b < a and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in sets.items()], "id long, text string")
+    open_ = spark.createDataFrame([(i, i, len(g)) for i, g in grams.items()], "rep long, component long, n long")
+    got = {(r["a"], r["b"]) for r in near_dedup._rare_pairs(open_, docs, 2, 0.8).collect()}
+    assert want <= got and len(want) > 20
