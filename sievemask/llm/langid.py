@@ -8,10 +8,10 @@ in which a step that fails already holds where the next phrase stands, so a whol
 Texts are cut into stretches of STRETCH code points that are parsed side by side; a phrase does not cross a stretch, and
 every code point of every text is parsed.
 
-The automata come from a bounded sample: SAMPLE_DOCS labelled documents a language, those with the least hash of their
-id, and of each an excerpt of EXCERPT code points from its middle. Every letter of the sample counts: the most frequent ones of all
-languages have a column in each table, the steps of the others are sorted lists (`rare`). The sample, the tables (SYMBOLS entries for at
-most 2 * SAMPLE_DOCS * EXCERPT states a language) and the lists (at most 3 * SAMPLE_DOCS * EXCERPT steps a language) do not grow with the input.
+The automata come from a bounded sample: of each language the labelled documents with the least hash of their id, whole texts, until they hold
+SAMPLE_LETTERS code points (the last one may go beyond), SAMPLE_DOCS documents at most. Every letter of the sample counts: the most frequent ones
+of all languages have a column in each table, the steps of the others are sorted lists (`rare`). The sample, the tables (SYMBOLS entries for
+at most two states a code point) and the lists (at most three steps a code point) do not grow with the input, but with the number of languages.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without language or id are predicted but not
 learned from; equal costs go to the language that sorts first; without any labelled row everything is `und`; with one language the score of
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sievemask.llm.common import fold_of, fresh, table
 
-SAMPLE_DOCS, EXCERPT, STRETCH, SYMBOLS = 64, 256, 256, 64
+SAMPLE_DOCS, SAMPLE_LETTERS, STRETCH, SYMBOLS = 64, 24_576, 256, 64
 # Other: a letter that no sample has; pad: after a text's end. Letters without a column are numbered from SYMBOLS on.
 SPACE, OTHER, PAD = 0, SYMBOLS - 2, SYMBOLS - 1
 UNKNOWN = "und"
@@ -167,17 +167,18 @@ class Model:
 
 
 def fitted(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the bounded sample of the rows that `learn` is true for. A hot language's rows are ranked before they are shuffled."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    text = F.col(text_col)
-    start = F.greatest(F.lit(1), F.floor((F.length(text) - EXCERPT) / 2).cast("int") + 1)
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & text.isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), text.substr(start, F.lit(EXCERPT)).alias("excerpt")
+    """A model of the bounded sample of the rows that `learn` is true for: of each language the first texts by the hash of their id, whole, until
+    they hold SAMPLE_LETTERS code points; SAMPLE_DOCS at most. A hot language's rows are ranked before they are shuffled."""
+    by_hash = Window.partitionBy("lang").orderBy("h", "id")
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")
     )
-    sample = rows.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).orderBy("lang", "place").collect()
+    first = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SAMPLE_DOCS)
+    before = F.coalesce(F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = first.withColumn("before", before).where(F.col("before") < SAMPLE_LETTERS).orderBy("lang", "place").select("lang", "text").collect()
     texts: dict[str, list[str]] = {}
     for r in sample:
-        texts.setdefault(r["lang"], []).append(r["excerpt"])
+        texts.setdefault(r["lang"], []).append(r["text"])
     return Model(texts)
 
 

@@ -186,7 +186,8 @@ def to_warc(arc: DataFrame, least_bytes: int = 1000) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.max(F.struct("page_id", "record_id")).alias("_first")
     )
     several = written(grouped.where("_n > 1").select("same", "_first"), "payload-groups")
-    joined = rows.join(several, "same", "left")
+    # Small payloads have no hash; their own identifiers deal them out.
+    joined = rows.withColumn("_met", F.coalesce("same", "record_id")).join(several.withColumnRenamed("same", "_met"), "_met", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), "record_id",
