@@ -63,6 +63,7 @@ MONTHS = (
 BANKS = ("ANDB", "AUBL", "CIUB", "DBSS", "ESFB", "IBKL", "KVBL", "MAHB", "RATN", "SIBL", "TMBL", "UCBA")
 UPI_HANDLES = ("aubank", "barodampay", "federal", "freecharge", "idfcbank", "indus", "kotak", "sbi", "upi", "yesbank")
 EMAIL_DOMAINS = ("example.com", "example.org", "fastmail.com", "mail.example.net", "post.example.in", "proton.me", "zoho.in")
-SERVICE_ACCOUNTS = ("root@localhost", "backup@localhost", "mysql@db-replica", "build@runner-7", "git@mirror", "daemon@localhost")
+SERVICE_ACCOUNTS = ("www@web-03", "spool@print-hall", "cron@nightly", "ntp@clock-a", "relay@edge-2", "scan@warehouse")
+BRANCH_CHARS = "0123456789ACEFHJKMNPRTUVWXY"
 CARD_PREFIXES = ("2720", "35", "40", "43", "53", "55", "62", "6521")
 VEHICLE_STATES = ("AS", "CG", "CH", "GA", "HP", "JH", "JK", "KA", "MH", "NL", "OD", "PY", "SK", "TR", "UK")

@@ -1,7 +1,8 @@
 """Reversible masking: a vault table of placeholders per session, masking and restoring by joins.
 
 Messages are `(session, seq, text, ...)` with `seq` the message's place in its session. Only slim span rows are
-numbered and joined; a text travels only when it may hold something to replace."""
+numbered and joined; a text travels only when it may hold something to replace. A value or placeholder that many messages share
+does not gather them: `joined_spread` leaves its rows where they are."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from sievemask.functions import recognizers
 from sievemask.functions.spans import pattern_spans, splice
 from sievemask.operators.detection import span_rows
 from sievemask.operators.ranking import numbered
+from sievemask.operators.spreading import joined_spread
 from sievemask.session import frozen
 
 # The placeholder's shape, as a pattern and as a token pattern that covers a whole text.
@@ -75,10 +77,9 @@ def with_replacements(messages: DataFrame, replaced: DataFrame, touched: Column,
 
 
 def mask_with(messages: DataFrame, spans: DataFrame, vault: DataFrame, out: str = "masked") -> DataFrame:
-    replaced = spans.join(
-        vault.select("session", "label", "value", F.col("placeholder").alias("replacement")),
-        ["session", "label", "value"],
-    ).select("session", "seq", "start", "end", "replacement")
+    """Texts with the placeholders of their spans; `spans` are those of `session_spans`, which are at rest."""
+    entries = vault.select("session", "label", "value", F.col("placeholder").alias("replacement"))
+    replaced = joined_spread(spans, entries, ["session", "label", "value"], at_rest=True).select("session", "seq", "start", "end", "replacement")
     return with_replacements(messages, replaced, recognizers.may_hold(F.col("text")), out)
 
 
@@ -110,7 +111,7 @@ def unmask(
         .select("session", "seq", *extra, "p.start", "p.end", F.col("p.value").alias("placeholder"))
     )
     entries = vault.select("session", "placeholder", F.col("value").alias("replacement"), F.col("seq").alias("_since"))
-    found = tokens.join(entries, ["session", "placeholder"])
+    found = joined_spread(tokens, entries, ["session", "placeholder"])
     if known_by:
         found = found.where(F.col("_since") <= F.col(known_by))
     return with_replacements(messages, found.select("session", "seq", "start", "end", "replacement"), holds, out)

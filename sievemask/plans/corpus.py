@@ -143,7 +143,7 @@ def _q_value(kind, style):
         ("decoy_place", None): q_pick(_P, "place", L.NAMED_PLACES),
         ("decoy_passport", None): f"{q_pick(_P, 'series', PASSPORT_SERIES)} || {q_between(_P, 'first', 1, 9)} || {q_digits(_P, 'middle', 5)} || {q_between(_P, 'last', 1, 9)}",
         ("decoy_gstin", None): f"gst || substr('0123456789{UPPER}', ((gsti + {q_between(_P, 'wrong', 1, 35)}) % 36 + 1)::INT, 1)",
-        ("decoy_ifsc", None): f"CASE WHEN {q_letters(_P, 'prefix', 4)} IN ({q_list(L.BANKS)[1:-1]}) THEN 'X' || {q_letters(_P, 'prefix', 4)}[2:] ELSE {q_letters(_P, 'prefix', 4)} END || '0' || {q_letters(_P, 'tail', 6, 'ABCDEFGHJKLMNPQRSTUVWXYZ0123456789')}",
+        ("decoy_ifsc", None): f"CASE WHEN {q_letters(_P, 'prefix', 4)} IN ({q_list(L.BANKS)[1:-1]}) THEN 'X' || {q_letters(_P, 'prefix', 4)}[2:] ELSE {q_letters(_P, 'prefix', 4)} END || '0' || {q_letters(_P, 'tail', 6, L.BRANCH_CHARS)}",
         ("decoy_handle", None): f"CASE WHEN {q_below(_P, 'handle-kind', 5)} < 2 THEN '@' || {_q_bare(sfam)} || '_' || {_q_bare(sg)} WHEN {q_below(_P, 'handle-kind', 5)} = 2 THEN '@real' || {_q_bare(sg)} || {q_digits(_P, 'handle-tail', 3)} ELSE '@' || {_q_bare(sg)} || '.writes' END",
         ("decoy_service_account", None): q_pick(_P, "account", L.SERVICE_ACCOUNTS),
     }[(kind, style)]

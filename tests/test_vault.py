@@ -147,3 +147,25 @@ def test_deltas_flush_before_their_end(spark):
     df = spark.createDataFrame([("s", "c", i, json.dumps(e)) for i, e in enumerate(anthropic)], "session string, conv_id string, pos long, data string")
     got = [(r["pos"], r["stream"], r["part"], r["text"]) for r in H.restored_deltas(df, vault, "anthropic_messages").orderBy("pos").collect()]
     assert got == [(0, "block:0:text", "delta", "a "), (1, "block:0:text", "flush", "[b")]
+
+
+def test_a_value_in_every_message_is_spread(spark):
+    """One session, one value in all messages: without adaptive execution its rows stay dealt out."""
+    from sievemask.operators.spreading import common_keys, joined_spread
+
+    rows = spark.createDataFrame([("all", "[PAN_1]" if i % 3 else f"[PAN_{i}]", i) for i in range(3000)], "session string, placeholder string, seq long").repartition(8)
+    found = spark.createDataFrame([("all", f"[PAN_{i}]", str(i)) for i in range(2000)], "session string, placeholder string, value string")
+    keys = ["session", "placeholder"]
+    assert [r["placeholder"] for r in common_keys(rows, keys, 100).collect()] == ["[PAN_1]"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joined_spread(rows, found, keys, 100)
+        sizes = [r["n"] for r in joined.where("placeholder = '[PAN_1]'").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        got = {tuple(r) for r in joined.select("seq", "value").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 500 and sum(sizes) == 2000
+    assert got == {(i, "1" if i % 3 else str(i)) for i in range(3000) if i % 3 or i < 2000}
