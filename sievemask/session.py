@@ -52,3 +52,13 @@ def frozen(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers; for clusters where it is not installed."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
