@@ -9,7 +9,7 @@ Texts are cut into stretches of STRETCH code points that are parsed side by side
 every code point of every text is parsed.
 
 The automata come from a bounded sample: of each language the labelled documents with the least hash of their id, whole texts, until they hold
-SAMPLE_LETTERS code points (the last one may go beyond), SAMPLE_DOCS documents at most. Every letter of the sample counts: the most frequent ones
+SAMPLE_LETTERS code points (the last one may go beyond), SAMPLE_DOCS documents at most; texts over LONG_TEXT code points come last. Every letter of the sample counts: the most frequent ones
 of all languages have a column in each table, the steps of the others are sorted lists (`rare`). The sample, the tables (SYMBOLS entries for
 at most two states a code point) and the lists (at most three steps a code point) do not grow with the input, but with the number of languages.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sievemask.llm.common import fold_of, fresh, table
 
-SAMPLE_DOCS, SAMPLE_LETTERS, STRETCH, SYMBOLS = 64, 24_576, 256, 64
+SAMPLE_DOCS, SAMPLE_LETTERS, LONG_TEXT, STRETCH, SYMBOLS = 64, 16_384, 4_096, 256, 64
 # Other: a letter that no sample has; pad: after a text's end. Letters without a column are numbered from SYMBOLS on.
 SPACE, OTHER, PAD = 0, SYMBOLS - 2, SYMBOLS - 1
 UNKNOWN = "und"
@@ -168,10 +168,10 @@ class Model:
 
 def fitted(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the bounded sample of the rows that `learn` is true for: of each language the first texts by the hash of their id, whole, until
-    they hold SAMPLE_LETTERS code points; SAMPLE_DOCS at most. A hot language's rows are ranked before they are shuffled."""
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
+    they hold SAMPLE_LETTERS code points, texts over LONG_TEXT last; SAMPLE_DOCS at most. A hot language's rows are ranked before they are shuffled."""
+    by_hash = Window.partitionBy("lang").orderBy("long", "h", "id")
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"), (F.length(text_col) > LONG_TEXT).alias("long")
     )
     first = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SAMPLE_DOCS)
     before = F.coalesce(F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
