@@ -14,7 +14,7 @@ from sievemask.plans.common import big, digest_of, q_digits, q_letters, scratch,
 from sievemask.schemas import SEGMENT, TOOL_CALL
 from sievemask.session import frozen
 from sievemask.sources import sse
-from sievemask.sources.scenarios import load_scenarios
+from sievemask.sources.scenarios import load_scenarios, write_packed
 
 
 def _seg(text=None, slot=None, start=None, end=None, mangle=None):
@@ -370,8 +370,8 @@ def loaded_scenarios(spark, sf):
     checks = F.when(F.col("kind") == 3, F.array(F.lit("fails_closed"))).otherwise(F.col("checks"))
     folder = F.when(F.col("kind") == 4, "unicode").otherwise(F.col("category"))
     body = F.to_json(F.struct(named.alias("id"), "category", "description", "api", "stream", "pii", "tools", "turns", checks.alias("checks")))
-    sc.select(folder.alias("category"), "id", body.alias("value")).write.partitionBy("category", "id").text(root)
-    fine, problems = load_scenarios(spark, root, folders=True)
+    write_packed(sc.select(folder.alias("category"), "id", body.alias("body")), root)
+    fine, problems = load_scenarios(spark, root, packed=True)
     none = F.lit(None).cast("string")
     return fine.select("id", "category", big(F.size("turns")).alias("turns"), none.alias("problem")).unionByName(
         problems.select("id", none.alias("category"), F.lit(None).cast("long").alias("turns"), "problem")
