@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemask.functions.spans import unfolded
 from sievemask.functions.text import SPACE
 from sievemask.operators.ranking import numbered, running_total
 
@@ -42,9 +43,7 @@ def events_of(body: Column, emit_tail: bool = False) -> Column:
 
 
 def event_rows(bodies: DataFrame, keys: list[str], body: str = "body", emit_tail: bool = False) -> DataFrame:
-    return bodies.select(*keys, F.posexplode(events_of(F.col(body), emit_tail)).alias("pos", "e")).select(
-        *keys, "pos", "e.name", "e.data"
-    )
+    return unfolded(bodies, keys, events_of(F.col(body), emit_tail), "e", "pos").select(*keys, "pos", "e.name", "e.data")
 
 
 def pieced_event_rows(pieces: DataFrame, keys: list[str], order: str, piece: str = "piece", emit_tail: bool = False) -> DataFrame:
