@@ -52,6 +52,21 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str,
     )
 
 
+def numbered_in_key(df: DataFrame, keys: list[str], order: list[str], out: str = "n") -> DataFrame:
+    """`numbered` for keys that are known to be small: a window over each. Rows with a null key drop out, as they do there."""
+    return _keyed(df, keys).withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def running_total_in_key(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """`running_total` for keys that are known to be small."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _keyed(df, keys).withColumn(out, F.sum(amount).over(upto))
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.dropna(subset=[k for k in keys]) if keys else df
+
+
 def nearest_rank_percentiles(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """One row: count, nearest-rank percentiles, max and integer mean of `column`; all null but the count when empty.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievemask.corpus.draws import digits, letters
+from sievemask.functions.spans import unfolded
 from sievemask.operators import alignment as A
 from sievemask.operators import audit as U
 from sievemask.operators import chat as C
@@ -471,8 +472,8 @@ SELECT conv_id, turn, n + CASE WHEN turn % 2 = 0 THEN 4 ELSE 3 END AS events, CA
 
 def pieced_events(spark, sf):
     """The same counts from bodies that were captured in pieces of seven characters, which cut lines, line ends and events anywhere."""
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 7).cast("int")), lambda i: F.substring("body", i * 7 + 1, F.lit(7)))
-    pieces = frozen(captured_bodies(spark, sf).select("conv_id", "turn", F.posexplode(cut).alias("at", "piece")))
+    cut = F.regexp_extract_all("body", F.lit("(?s).{1,7}"), F.lit(0))
+    pieces = frozen(unfolded(captured_bodies(spark, sf), ["conv_id", "turn"], cut, "piece", "at"))
     keys = ["conv_id", "turn"]
     strict = sse.pieced_event_rows(pieces, keys, "at").groupBy(*keys).agg(big(F.count(F.lit(1))).alias("events"), big(F.count("name")).alias("named"))
     tail = sse.pieced_event_rows(pieces, keys, "at", emit_tail=True).groupBy(*keys).agg(big(F.count(F.lit(1))).alias("with_tail"), F.max_by("data", "pos").alias("last"))

@@ -71,3 +71,23 @@ def test_line_numbers_over_splits(spark, tmp_path):
     # 700 is blank: every seventh line is.
     assert {(r["f"], r["line_no"]) for r in rows} == {("a", 1500), ("b", 3)}
     assert {tuple(r) for r in first} == {("a", 1500, "does not parse"), ("b", 3, "does not parse")}
+
+
+def test_small_bodies_are_pieced_in_a_task(spark, monkeypatch):
+    """Both ways to piece bodies together give the rows of the whole body; small ones are not laid out over tasks."""
+    from pyspark.sql import functions as F
+
+    from sievemask.sources import sse
+
+    body = "event: a\r\n\r\n\ndata: 1\n\n\n\n: c\n\ndata: x\ndata: y\r\n\r\nevent: z\ndata: tail"
+    whole = spark.createDataFrame([(i, body[i:]) for i in range(12)], "id long, body string")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 3).cast("int")), lambda i: F.substring("body", i * 3 + 1, F.lit(3)))
+    pieces = whole.select("id", F.posexplode(cut).alias("at", "piece"))
+    for tail in (False, True):
+        want = sorted(tuple(r) for r in event_rows(whole, ["id"], emit_tail=tail).select("id", "pos", "name", "data").collect() if not tail)
+        spread = sorted(tuple(r) for r in sse._pieced(pieces, ["id"], "at", "piece", tail, True).collect())
+        with monkeypatch.context() as m:
+            m.setattr(sse, "running_total", None)
+            m.setattr(sse, "numbered", None)
+            got = sorted(tuple(r) for r in pieced_event_rows(pieces, ["id"], "at", emit_tail=tail).collect())
+        assert got == spread and (tail or got == want)
