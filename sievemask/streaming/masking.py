@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
@@ -13,7 +12,7 @@ from sievemask.functions import recognizers
 from sievemask.operators.detection import span_rows
 from sievemask.operators.plugin import answered
 from sievemask.operators.vault import placeholder, with_replacements
-from sievemask.streaming.state import NUMBERED, Expiring, Numbers, drain, remembered
+from sievemask.streaming.state import NUMBERED, Expiring, Numbers, drain, in_order, remembered
 
 VAULT = "session string, label string, value string, seq long, start int, n long, placeholder string"
 
@@ -55,19 +54,19 @@ class UserMasker(Expiring):
         self._saved = handle.getValueState("saved", "active boolean, memory binary")
         return [self._saved]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         self.touch(timerValues)
         masker, active = self._make(), False
         if self._saved.exists():
             active, memory = self._saved.get()
             masker.load(bytes(memory))
-        requests = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         out = []
-        for seq, op, text in zip(requests["seq"], requests["op"], requests["text"], strict=True):
-            out.append((key[0], seq, op, *answered(masker, active, op, None if pd.isna(text) else text)))
-            active = active or op == "mask"
+        for r in in_order(rows, "seq"):
+            status, result, message = answered(masker, active, r["op"], r["text"])
+            out.append(Row(session=r["session"], seq=r["seq"], op=r["op"], status=status, result=result, message=message))
+            active = active or r["op"] == "mask"
         self._saved.update((active, masker.save()))
-        yield pd.DataFrame(out, columns=["session", "seq", "op", "status", "result", "message"]).astype({c: object for c in ("result", "message")})
+        yield from out
 
 
 def answer_stream(requests: DataFrame, make: Callable[[], object], out_path: str, checkpoint: str, idle_ms: int | None = None):

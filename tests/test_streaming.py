@@ -1,11 +1,12 @@
 """Keyed state of streams: what outlives a micro-batch, what a batch touches, and what expires."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sievemask.streaming.holdback import restore_stream, unmask_stream
 from sievemask.streaming.masking import mask_stream, read_vault
-from sievemask.streaming.state import held_of
+from sievemask.streaming.state import FIRST_VALUES, Numbers, held_of
 
 MESSAGES = "session string, seq long, text string"
 PANS = ["ABCPK1234M", "BCDPL2345N", "CDEPM3456O"]
@@ -72,3 +73,45 @@ def test_a_placeholder_cut_over_batches(spark, tmp_path):
 
 def test_held_of():
     assert [held_of(s) for s in ("a [P", "a [P]", "[" + "x" * 30, "[" + "x" * 31, "[[", "a[b[c", "")] == ["[P", "", "[" + "x" * 30, "", "[", "[c", ""]
+
+
+class Calls:
+    """State variables in memory that count the messages a processor sends."""
+
+    def __init__(self):
+        self.sent, self.held, self.kept, self.one = 0, {}, [], None
+
+    def __getattr__(self, name):
+        self.sent += 1
+        return {
+            "getValue": self.held.get, "updateValue": self.held.__setitem__, "appendList": self.kept.extend, "update": lambda v: setattr(self, "one", v),
+            "get": lambda: self.one if not self.kept else iter(self.kept), "iterator": lambda: iter(self.held.items()),
+        }[name]
+
+
+class Handle:
+    def __init__(self):
+        self.states = []
+
+    def _state(self, *_):
+        self.states.append(Calls())
+        return self.states[-1]
+
+    getValueState = getListState = getMapState = _state
+
+
+def test_a_session_takes_few_state_calls():
+    numbers, handle = Numbers(None), Handle()
+    numbers.init(handle)
+    span = Row("session", "seq", "start", "end", "label", "value")
+    rows = lambda seq, count: [span("s", seq, i, i + 1, "AB"[i % 2], f"v{i}") for i in reversed(range(count))]
+    got = list(numbers.handleInputRows(("s",), iter(rows(0, 20)), None))
+    assert [(r["value"], r["n"], r["fresh"]) for r in got] == [(f"v{i}", i // 2 + 1, True) for i in range(20)]
+    assert sum(s.sent for s in handle.states) <= 4  # two calls a value, and two a label, before
+    got = list(numbers.handleInputRows(("s",), iter(rows(1, 21)), None))
+    assert [r["n"] for r in got if r["fresh"]] == [11] and sum(s.sent for s in handle.states) <= 8
+    for seq in (2, 3):  # beyond the list every value has an entry of its own
+        got = list(numbers.handleInputRows(("s",), iter(rows(seq, FIRST_VALUES + 10)), None))
+        assert [r["n"] for r in got] == [i // 2 + 1 for i in range(FIRST_VALUES + 10)]
+        assert [r["fresh"] for r in got] == [seq == 2 and i > 20 for i in range(FIRST_VALUES + 10)]
+    assert len(handle.states[2].held) == 10
