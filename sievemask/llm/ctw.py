@@ -77,6 +77,18 @@ def folded(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def tallied(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how many of each are flagged by `learn`; keys alone sort much faster than keys with counts."""
+    line = np.sort(keys)
+    distinct, first = runs(line)
+    counts = np.diff(first, append=len(line))
+    if not learn.all():
+        others = np.sort(keys[~learn])
+        some, first = runs(others)
+        counts[np.searchsorted(distinct, some)] -= np.diff(first, append=len(others))
+    return distinct, counts
+
+
 def _nodes(keys: np.ndarray, depth: int) -> np.ndarray:
     """Ids of the eight nodes of each key at `depth`: the key's context, with the decided bits in place of the byte."""
     byte = keys & np.uint64(0xFF)
@@ -204,14 +216,14 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gather(depth: int, shards: int):
     def of_block(rows: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        learn = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        learn = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
         found = {"w": [(np.array([END_WORD]), np.array([learn.sum()]))], "g": []}
         for at, data, offsets in text_slices(rows.column(1), SLICE):
             mine = learn[at : at + len(offsets) - 1]
             hashes, starts, ends, first = words(data, offsets)
-            found["w"].append(folded(hashes, np.repeat(mine, np.diff(first))))
+            found["w"].append(tallied(hashes, np.repeat(mine, np.diff(first))))
             keys, begin = context_keys(data, offsets, starts, ends, first, depth)
-            found["g"].append(folded(keys, np.repeat(mine, np.diff(begin))))
+            found["g"].append(tallied(keys, np.repeat(mine, np.diff(begin))))
         for kind, parts in found.items():
             keys, counts = folded(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
             yield kind, keys, counts
@@ -303,39 +315,44 @@ def _answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["block", "kind", "keys", "found"])
 
 
+def looked_up(keys: np.ndarray, found: np.ndarray) -> tuple[pd.Index, np.ndarray]:
+    """Keys as a hash table, and what was found for each. A key that many pieces of a block ask for has one entry."""
+    order = np.argsort(keys)
+    keys, first = runs(keys[order])
+    return pd.Index(keys), found[order[first]]
+
+
+def values_of(known: tuple[pd.Index, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    at = known[0].get_indexer(keys)
+    if (at < 0).any():
+        raise ValueError("a block misses answers")
+    return known[1][at]
+
+
 def _score(depth: int, total: float, distinct: float):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def lookup(answers: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(answers: pa.Table, kind: str) -> tuple[pd.Index, np.ndarray]:
         rows = [(k.as_py(), v.as_py()) for n, k, v in zip(answers["kind"], answers["keys"], answers["found"], strict=True) if n.as_py() == kind]
         if not rows:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        keys = np.concatenate([unpacked(k) for k, _ in rows])
-        found = np.concatenate([from_planes(v) for _, v in rows])
-        order = np.argsort(keys)
-        return keys[order], found[order]
-
-    def get(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(table_[0], keys), len(table_[0]) - 1)
-        if (table_[0][at] != keys).any():
-            raise ValueError("a block misses answers")
-        return table_[1][at]
+            return looked_up(np.zeros(0, np.uint64), np.zeros(0))
+        return looked_up(np.concatenate([unpacked(k) for k, _ in rows]), np.concatenate([from_planes(v) for _, v in rows]))
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         by_word, by_key = lookup(answers, "w"), lookup(answers, "g")
         floor = total + 0.1 * (distinct + 1)
-        end_count = float(get(by_word, np.array([END_WORD]))[0]) if docs.num_rows else 0.0
+        end_count = float(values_of(by_word, np.array([END_WORD]))[0]) if docs.num_rows else 0.0
         parts = []
         for batch in (b for blob in docs["blob"] for b in pa.ipc.open_stream(blob.as_buffer())):
             for at, data, offsets in text_slices(batch.column(1), SLICE):
                 n = len(offsets) - 1
                 hashes, starts, ends, first = words(data, offsets)
-                counts = get(by_word, hashes).astype(np.float64) if len(hashes) else np.zeros(0)
+                counts = values_of(by_word, hashes).astype(np.float64) if len(hashes) else np.zeros(0)
                 owner = np.repeat(np.arange(n), np.diff(first))
                 base = np.bincount(owner, np.log10((counts + 0.1) / floor), n) + np.log10((end_count + 0.1) / floor)
                 known = np.bincount(owner, counts > 0, n) + (end_count > 0)
                 keys, begin = context_keys(data, offsets, starts, ends, first, depth)
-                score = np.bincount(np.repeat(np.arange(n), np.diff(begin)), get(by_key, keys) / -FINE, n)
+                score = np.bincount(np.repeat(np.arange(n), np.diff(begin)), values_of(by_key, keys) / -FINE, n)
                 parts.append([batch.column(0)[at : at + n], np.diff(first) + 1, known.astype(np.int64), base, score])
         chunks = [pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in p], schema=schema) for p in parts]
         return pa.concat_tables(chunks) if chunks else schema.empty_table()

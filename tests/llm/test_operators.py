@@ -440,6 +440,20 @@ def test_both_versions_of_header_lines():
 # --- language models ---
 
 
+def test_ctw_keys_are_tallied_and_looked_up():
+    rng = np.random.default_rng(3)
+    keys, learn = rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(58), rng.random(4000) < 0.9
+    learn[keys == keys[0]] = False  # asked for, never learned
+    for flags in (learn, np.ones(4000, bool), np.zeros(4000, bool)):
+        for got, want in zip(ctw.tallied(keys, flags), ctw.folded(keys, flags.astype(np.int64)), strict=True):
+            assert (got == want).all()
+    assert [len(x) for x in ctw.tallied(keys[:0], learn[:0])] == [0, 0]
+    known = ctw.looked_up(keys, keys.astype(float))  # as from many pieces of a block
+    assert len(known[0]) == len(set(keys.tolist())) and (ctw.values_of(known, keys) == keys).all()
+    with pytest.raises(ValueError, match="misses answers"):
+        ctw.values_of(known, np.array([7], np.uint64))
+
+
 def brute_ctw(pairs, depth):
     """Weighted block probability and prediction by the recursive definition. pairs: training (context bytes, byte)."""
 
