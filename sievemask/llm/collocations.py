@@ -12,7 +12,8 @@ frequent phrases ever exist as strings.
 
 A language, a word or a copied text may hold any share of the rows: equal texts fold into one with a count, fingerprints fold in tasks, the
 last ranking numbers ranges of rows and adds up their sizes, and parts shared by many phrases are looked up by `joined_by_share`. What is held
-in a task is a block of texts (`BLOCK` bytes, or one text) and `FOLDED` fingerprints.
+in a task is a block of texts (`BLOCK` bytes, or one text) and `FOLDED` fingerprints; these are folded by ranges of fingerprints, so that no
+second copy of them is made, and leave the task range by range.
 
 Defined cases: a null text is empty, a null language `und`; rows that repeat an id count as rows; a text of any length is one block at least;
 ties are ordered by count and phrase; an empty table gives no rows; further columns are ignored, whatever they are called.
@@ -36,7 +37,7 @@ from sievemask.llm.texts import distinct_texts, heavy_keys, joined_by_share
 from sievemask.operators.ranking import numbered
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-BLOCK, FOLDED = 1 << 22, 1 << 21
+BLOCK, FOLDED, RANGE = 1 << 19, 1 << 21, 1 << 16
 MAP_BITS = 1 << 28
 SEGMENT = 1 << 19  # bits of the map that are packed into one row
 BLANK, STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -112,7 +113,7 @@ def _held(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _fold(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows (fp, low, high, count, ref) with one row per fingerprint."""
+    """Rows (fp, low, high, count, ref) with one row per fingerprint, in its order."""
     fp, low, high, count, ref = rows
     if not len(fp):
         return rows
@@ -121,6 +122,18 @@ def _fold(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [distinct, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(count[order], first), np.minimum.reduceat(ref[order], first)]
 
 
+def _fold_ranges(parts: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Folded rows of `parts`, each of which is folded itself, in ranges of fingerprints: about `RANGE` rows of `parts` at a time."""
+    ranges = max(1, sum(len(part[0]) for part in parts) // RANGE)
+    bounds = np.array([-(1 << 63) + (1 << 64) * i // ranges for i in range(1, ranges)], np.int64)
+    cuts = [[0, *np.searchsorted(part[0], bounds).tolist(), len(part[0])] for part in parts]
+    for i in range(ranges):
+        rows = [[c[cut[i] : cut[i + 1]] for c in part] for part, cut in zip(parts, cuts, strict=True)]
+        folded = _fold([np.concatenate(c) for c in zip(*rows, strict=True)]) if rows else []
+        if folded and len(folded[0]):
+            yield folded
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], print_bits: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray, list[str]]]:
     """Blocks of (lang, text, copies, ref) rows, with copies, refs and languages of their texts."""
     for batch in batches:
@@ -148,9 +161,9 @@ def _counted(n: int, map_of, print_bits: int):
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = map_of.value if map_of is not None else None
-        empty = [np.zeros(0, np.int64)] * 5
         totals: dict[str, int] = {}
-        kept, size = [empty], 0
+        kept: list[list[np.ndarray]] = []
+        size = 0
 
         def batch_of(rows: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(len(rows[0]), pa.string())], schema=pa.schema(FOUND))
@@ -164,15 +177,15 @@ def _counted(n: int, map_of, print_bits: int):
             if n == 1:
                 for i, words in enumerate(np.bincount(block.text, minlength=len(langs)).tolist()):
                     totals[langs[i]] = totals.get(langs[i], 0) + words * int(copies[i])
+            del block, at, of, check
             if size > FOLDED:
-                kept = [_fold([np.concatenate(c) for c in zip(*kept, strict=True)])]
-                size = len(kept[0][0])
+                size = len(runs(np.sort(np.concatenate([part[0] for part in kept])))[0])
                 if size > FOLDED // 2:
-                    yield batch_of(kept[0])
-                    kept, size = [empty], 0
-        rows = _fold([np.concatenate(c) for c in zip(*kept, strict=True)])
-        if len(rows[0]):
-            yield batch_of(rows)
+                    yield from map(batch_of, _fold_ranges(kept))
+                    kept, size = [], 0
+                else:
+                    kept = [[np.concatenate(c) for c in zip(*_fold_ranges(kept), strict=True)]]
+        yield from map(batch_of, _fold_ranges(kept))
         if totals:
             zeros = pa.array(np.zeros(len(totals), np.int64))
             yield pa.RecordBatch.from_arrays([zeros, zeros, zeros, pa.array(list(totals.values()), pa.int64()), zeros, pa.array(list(totals))], schema=pa.schema(FOUND))

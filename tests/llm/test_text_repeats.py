@@ -4,9 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +71,54 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([(None, None)], "text string, lang string")).collect() == []
 
 
+def summed_counts(rows):
+    """Fingerprints of word pairs as tasks count them, summed: (least and greatest check, count, least pointer) of each."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["lang", "text", "copies", "ref"])
+    every = SimpleNamespace(value=np.full(1, np.iinfo(np.uint64).max, np.uint64))  # a map that keeps nothing out
+    out = {}
+    sent = 0
+    for some in collocations._counted(2, every, 64)(iter([batch.slice(0, 100), batch.slice(100)])):
+        sent += some.num_rows
+        for fp, low, high, count, ref in zip(*(some.column(i).to_pylist() for i in range(5)), strict=True):
+            a, b, n, r = out.get(fp, (low, high, 0, ref))
+            out[fp] = (min(a, low), max(b, high), n + count, min(r, ref))
+    return out, sent
+
+
+@pytest.mark.parametrize("folded", [400, 1600])  # the distinct pairs are more than half of it, and leave in parts, or fewer, and are held
+def test_folding_by_ranges(monkeypatch, folded):
+    rows = [(lang or "und", text or "", i % 3 + 1, (i * 7919) % 1000 - 500) for i, (lang, text) in enumerate(some_texts())]
+    want, sent = summed_counts(rows)
+    assert sent == len(want) and 200 < sent < 800
+    for name, value in (("BLOCK", 256), ("FOLDED", folded), ("RANGE", 16)):
+        monkeypatch.setattr(collocations, name, value)
+    assert summed_counts(rows)[0] == want
+
+
+def test_counting_holds_one_copy_of_its_rows():
+    """2.7 million words, nearly all pairs of them distinct: 107 MB as rows. Folding held several copies, and sent one batch of 2 million rows."""
+    letters = np.random.default_rng(5).integers(97, 123, (2000, 8000), np.uint8)
+    letters[:, 5::6] = 32
+    texts = [row.tobytes().decode() for row in letters]
+    words = sum(len(t.split()) for t in texts)
+    columns = [["en"] * 2000, texts, [3] * 2000, list(range(2000))]
+    every = SimpleNamespace(value=np.full(1 << 13, np.iinfo(np.uint64).max, np.uint64))  # a map that keeps nothing out
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 500]) for c in columns], ["lang", "text", "copies", "ref"]) for i in range(0, 2000, 500)]
+    tracemalloc.start()
+    try:
+        count = largest = 0
+        for batch in collocations._counted(2, every, 64)(iter(batches)):
+            count += pc.sum(batch.column(3)).as_py()
+            largest = max(largest, batch.num_rows)
+            del batch
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert count == 3 * (words - 2000)
+    assert largest <= 1 << 18
+    assert peak < 250_000_000
+
+
 # --- suffix arrays ---
 
 
